@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,5 +18,10 @@ def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op4_simhash_pivots": op4_simhash_pivots}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens of every document and their places in as few sequences."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=2048).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing}
 ORACLE_SQL: dict[str, str] = {}
