@@ -69,27 +69,26 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
 
     for length in sorted(counts, reverse=True):
         left, piece = counts[length], 0
-        while left and (room := tree.tightest(length)) is not None:
-            first, n = open_bins[room].pop()
-            tree.add(room, -n)
-            used = min(n, left)
-            runs.append((length, piece, used, first, capacity - room))
-            put(room, first + used, n - used)
-            put(room - length, first, used)
-            piece, left = piece + used, left - used
-        each = capacity // length
-        full, rest = divmod(left, each)
-        for slot in range(each if full else 0):
-            runs.append((length, piece, full, bins, slot * length))
-            piece += full
-        put(capacity - each * length, bins, full)
-        bins += full
-        for slot in range(rest):
-            runs.append((length, piece, 1, bins, slot * length))
-            piece += 1
-        if rest:
-            put(capacity - rest * length, bins, 1)
-            bins += 1
+        while left:
+            # A bin that gets a piece is the tightest from then on, so it goes on getting pieces while they fit.
+            room = tree.tightest(length)
+            if room is None:
+                room, first, n = capacity, bins, -(-left // (capacity // length))
+                bins += n
+            else:
+                first, n = open_bins[room].pop()
+                tree.add(room, -n)
+            each = room // length
+            full = min(n, left // each)
+            rest = left - full * each if full < n else 0
+            for base, many, slots in ((first, full, each), (first + full, 1, rest)):
+                for slot in range(slots if many else 0):
+                    runs.append((length, piece, many, base, capacity - room + slot * length))
+                    piece += many
+            put(room - each * length, first, full)
+            put(room - rest * length, first + full, min(rest, 1))
+            put(room, first + full + min(rest, 1), n - full - min(rest, 1))
+            left -= full * each + rest
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
 
 
