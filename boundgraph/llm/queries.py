@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import packing, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +23,21 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=2048).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op8_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written to bundles and read back from their frames."""
+    index, _ = warc.archive_pages(_table(spark, sf_dir, "pages"), least=1000)
+    number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
+    return warc.read(index).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+QUERIES = {"op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing, "op8_seekable_warc": op8_seekable_warc}
+ORACLE_SQL: dict[str, str] = {
+    "op8_seekable_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM p),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS kept FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+        FROM m""",
+}
