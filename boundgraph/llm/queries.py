@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, warc
+from . import packing, pii, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,19 @@ def op8_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
-QUERIES = {"op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing, "op8_seekable_warc": op8_seekable_warc}
+def op9_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the counts are those of the base spans."""
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+QUERIES = {"op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing, "op8_seekable_warc": op8_seekable_warc, "op9_pii_tagger": op9_pii_tagger}
 ORACLE_SQL: dict[str, str] = {
     "op8_seekable_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
