@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, simhash, warc
+from . import embed_dedup, packing, pii, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=2048).withColumnRenamed("id", "doc_id")
 
 
+def op6_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.98 within a label."""
+    found = embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op8_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record per page, written to bundles and read back from their frames."""
     index, _ = warc.archive_pages(_table(spark, sf_dir, "pages"), least=1000)
@@ -42,7 +48,7 @@ def op9_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES = {"op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing, "op8_seekable_warc": op8_seekable_warc, "op9_pii_tagger": op9_pii_tagger}
+QUERIES = {"op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing, "op6_pivot_permutations": op6_pivot_permutations, "op8_seekable_warc": op8_seekable_warc, "op9_pii_tagger": op9_pii_tagger}
 ORACLE_SQL: dict[str, str] = {
     "op8_seekable_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
