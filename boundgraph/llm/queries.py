@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, packing, pii, simhash, warc
+from . import ann, embed_dedup, packing, pii, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op6_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op7_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector, against all others."""
+    table = _table(spark, sf_dir, "embeddings")
+    return ann.search(table, table.where("vec_id % 20 = 0"), k=20).withColumnRenamed("id", "vec_id")
+
+
 def op8_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record per page, written to bundles and read back from their frames."""
     index, _ = warc.archive_pages(_table(spark, sf_dir, "pages"), least=1000)
@@ -48,7 +54,7 @@ def op9_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES = {"op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing, "op6_pivot_permutations": op6_pivot_permutations, "op8_seekable_warc": op8_seekable_warc, "op9_pii_tagger": op9_pii_tagger}
+QUERIES = {"op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing, "op6_pivot_permutations": op6_pivot_permutations, "op7_one_bit_codes": op7_one_bit_codes, "op8_seekable_warc": op8_seekable_warc, "op9_pii_tagger": op9_pii_tagger}
 ORACLE_SQL: dict[str, str] = {
     "op8_seekable_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
