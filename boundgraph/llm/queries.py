@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, packing, pii, simhash, warc
+from . import ann, embed_dedup, packing, pii, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def good_labels(labels: DataFrame) -> DataFrame:
+    """Rows of ``labels`` as ``(id, good)``: of quality, and not toxic."""
+    toxic = F.coalesce(F.col("toxic"), F.lit(0)) != 0
+    return labels.select(F.col("doc_id").cast("long").alias("id"), F.when(F.col("quality").isNotNull(), ((F.col("quality") == 1) & ~toxic).cast("double")).alias("good"))
+
+
+def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, both views' probabilities, the combined score and keep, of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, good_labels(_table(spark, sf_dir, "labels")))).withColumnRenamed("id", "doc_id")
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document: 3-word shingles, links at 3 bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, words=1, max_bits=3)
@@ -54,7 +66,7 @@ def op9_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES = {"op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing, "op6_pivot_permutations": op6_pivot_permutations, "op7_one_bit_codes": op7_one_bit_codes, "op8_seekable_warc": op8_seekable_warc, "op9_pii_tagger": op9_pii_tagger}
+QUERIES = {"op1_co_training": op1_co_training, "op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing, "op6_pivot_permutations": op6_pivot_permutations, "op7_one_bit_codes": op7_one_bit_codes, "op8_seekable_warc": op8_seekable_warc, "op9_pii_tagger": op9_pii_tagger}
 ORACLE_SQL: dict[str, str] = {
     "op8_seekable_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
