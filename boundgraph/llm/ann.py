@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .embed_dedup import stacked, usable
-from .shared import materialise
 
 QUERY_BITS = 5
 #: Rows of the sample that the mean comes from, and of a block of vectors and of queries.
-SAMPLE, BLOCK, QUERIES = 4096, 16384, 512
-#: Query rows that are estimated in one step, and pairs that are reranked in one.
-ROWS, STEP = 64, 65536
+SAMPLE, BLOCK, QUERIES = 4096, 8192, 4096
+#: Pairs whose inner products are estimated in one step.
+TILE = 262144
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -54,53 +53,62 @@ class Codes:
         self.wide = wide
 
     def estimates(self, queries: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products ``(queries, rows)`` and the standard scale of their errors."""
+        """Estimated inner products ``(queries, rows)`` and the standard scale of their errors, in single precision."""
         q = queries @ turn
         low = q.min(axis=1, keepdims=True)
-        step = np.maximum((q.max(axis=1, keepdims=True) - low) / (2**QUERY_BITS - 1), 1e-300)
+        step = np.maximum((q.max(axis=1, keepdims=True) - low) / (2**QUERY_BITS - 1), 1e-30)
         level = np.rint((q - low) / step).astype(np.int64)
-        dot = np.zeros((len(q), len(self.bits)), dtype=np.int64)
+        shape = len(q), len(self.bits)
+        both, ones, part = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.empty(shape, np.uint32)
+        dot = np.zeros(shape, np.uint32)
         for b in range(QUERY_BITS):
-            plane = np.packbits(level >> b & 1, axis=1, bitorder="little").view("<u8")
+            plane = np.packbits((level >> b & 1).astype(np.uint8), axis=1, bitorder="little").view("<u8")
             for w in range(plane.shape[1]):
-                dot += np.bitwise_count(plane[:, w, None] & self.bits[None, :, w]).astype(np.int64) << b
-        on_ones = step * dot + low * self.count
-        total = (step * level + low).sum(axis=1, keepdims=True)
-        along = (2 * on_ones - total) / np.sqrt(self.wide)
-        norm = np.sqrt((q * q).sum(axis=1, keepdims=True))
-        rounding = step * np.sqrt(self.wide / 12 / self.wide)
-        return (queries @ mean)[:, None] + along * self.scale, norm * self.spread + rounding * self.scale
-
-
-def best(x: np.ndarray, ids: np.ndarray, codes: Codes, queries: np.ndarray, own: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, bound: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(query row, x row, inner product)`` of what each query has to rerank, at most its k best and what ties with them.
+                np.bitwise_and(plane[:, w, None], self.bits[None, :, w], out=both)
+                np.bitwise_count(both, out=ones)
+                np.multiply(ones, np.uint32(1 << b), out=part, dtype=np.uint32)
+                dot += part
+        single, root = np.float32, self.wide**0.5
+        guess = dot.astype(single)
+        guess *= (2 * step / root).astype(single)
+        guess += (2 * low / root).astype(single) * self.count.astype(single)
+        guess -= ((step * level + low).sum(axis=1, keepdims=True) / root).astype(single)
+        guess *= self.scale.astype(single)
+        guess += (queries @ mean)[:, None].astype(single)
+        norm = np.sqrt((q * q).sum(axis=1, keepdims=True)).astype(single)
+        return guess, norm * self.spread.astype(single) + (step / 12**0.5).astype(single) * self.scale.astype(single)
+
+
+def best(x: np.ndarray, ids: np.ndarray, codes: Codes, queries: np.ndarray, own: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, bound: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(query row, x rows, inner products)``: for each query its k best rows among those it has to rerank.
 
     A query's own id is no candidate.
     """
-    for at in range(0, len(queries), ROWS):
-        part = queries[at : at + ROWS]
-        guess, error = codes.estimates(part, mean, turn)
-        same = own[at : at + ROWS, None] == ids[None, :]
-        guess[same] = -np.inf
-        floor = np.full((len(part), 1), -np.inf)
-        if guess.shape[1] > k:  # the k-th best inner product of the k that look best: the k-th best of all is no less
-            look = np.argpartition(guess, -k, axis=1)[:, -k:]
-            exact = (x[look] * part[:, None, :]).sum(axis=2)
-            floor = np.where(np.isinf(np.take_along_axis(guess, look, axis=1)), -np.inf, exact).min(axis=1, keepdims=True)
-        q, r = np.nonzero((guess + bound * error >= floor) & ~same)
-        score = np.concatenate([np.zeros(0), *((part[q[i : i + STEP]] * x[r[i : i + STEP]]).sum(axis=1) for i in range(0, len(q), STEP))])
-        order = np.lexsort((ids[r], -score, q))
-        q, r, score = q[order], r[order], score[order]
-        first = np.searchsorted(q, q, side="left")
-        top = np.arange(len(q)) - first < k
-        yield q[top] + at, r[top], score[top]
+    rows = max(1, TILE // max(1, len(x)))
+    place = {i: np.flatnonzero(ids == i) for i in np.intersect1d(own, ids).tolist()}
+    for at in range(0, len(queries), rows):
+        guess, error = codes.estimates(queries[at : at + rows], mean, turn)
+        upper = guess + np.float32(bound) * error
+        for n in range(len(guess)):
+            q = queries[at + n]
+            if own[at + n] in place:
+                guess[n, place[own[at + n]]] = upper[n, place[own[at + n]]] = -np.inf
+            floor = -np.inf
+            if guess.shape[1] > k:  # the least of the k that look best: the k-th best of all is no less
+                look = np.argpartition(guess[n], -k)[-k:]
+                if not np.isinf(guess[n, look]).any():
+                    floor = (x[look] * q).sum(axis=1).min()
+            found = np.flatnonzero((upper[n] >= floor) & (upper[n] > -np.inf))
+            score = (x[found] * q).sum(axis=1)
+            top = np.lexsort((ids[found], -score))[:k]
+            yield at + n, found[top], score[top]
 
 
 def search(table: DataFrame, queries: DataFrame, k: int = 20, bound: float = 2.5, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` largest inner products found for every query, ties to the smaller id.
 
     ``queries`` has the columns of ``table``.  Both are dealt by hash into blocks; every block of
-    queries meets every block of vectors once, and what the blocks return is ranked per query.
+    queries meets every block of vectors in one task, and what the tasks return is ranked per query.
     With fewer than ``k`` candidates all are returned.
 
     * Vectors that are null, zero or hold null or non-finite components take no part; neither do null ids.
@@ -113,31 +121,25 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, bound: float = 2.5
         good = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & usable("vec"))
         return good.withColumn("size", F.size("vec"))
 
-    def blocks(df: DataFrame, rows_of: int, name: str) -> DataFrame:
-        sizes = df.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / rows_of).alias("parts"))
-        return materialise(df.join(F.broadcast(sizes), "size").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).groupBy("size", "part").agg(F.collect_list(F.struct("id", "vec")).alias("r")).select("size", "part", F.col("r.id").alias("id"), F.col("r.vec").alias("vec")), name)
-
-    vectors = rows(table)
+    vectors, asked = rows(table), rows(queries)
     drawn = {r["size"]: np.array(r["m"]) for r in _means(vectors)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, made = None, None
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                size, part = one.column("size")[0].as_py(), one.column("part")[0].as_py()
-                mean = drawn.get(size, np.zeros(size))
-                if last != (size, part):
-                    turn = rotation(size)
-                    ids, x = one.column("id").flatten().to_numpy(zero_copy_only=False), stacked(one.column("vec").flatten())
-                    made, last = Codes(x, mean, turn), (size, part)
-                own, asked = one.column("q_id").flatten().to_numpy(zero_copy_only=False), stacked(one.column("q_vec").flatten())
-                for q, r, score in best(x, ids, made, asked, own, mean, turn, k, bound):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids[r]), pa.array(score)], names=["query_id", "id", "score"])
-
-    asked = blocks(rows(queries), QUERIES, "queries").select("size", F.col("part").alias("q_part"), F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
-    met = blocks(vectors, block, "vectors").join(asked, "size").repartition("size", "part", "q_part").sortWithinPartitions("size", "part")
-    found = met.select("size", "part", "id", "vec", "q_id", "q_vec").mapInArrow(run, "query_id long, id long, score double").distinct()
+    parts, q_parts = 1 + vectors.count() // block, 1 + asked.count() // QUERIES
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = vectors.withColumn("part", dealt(parts)).withColumn("q_part", every(q_parts)).groupBy("size", "part", "q_part")
+    right = asked.withColumn("q_part", dealt(q_parts)).withColumn("part", every(parts)).groupBy("size", "part", "q_part")
+
+    def run(some: pa.Table, about: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if some.num_rows and about.num_rows:
+            ids, own = (t.column("id").to_numpy() for t in (some, about))
+            x, q = (stacked(t.column("vec").combine_chunks()) for t in (some, about))
+            mean, turn = drawn.get(x.shape[1], np.zeros(x.shape[1])), rotation(x.shape[1])
+            out = [(np.full(len(r), own[n]), ids[r], score) for n, r, score in best(x, ids, Codes(x, mean, turn), q, own, mean, turn, k, bound)]
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "id", "score"), columns, strict=True)))
+
+    found = left.cogroup(right).applyInArrow(run, "query_id long, id long, score double").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
