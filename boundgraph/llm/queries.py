@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, mixing, packing, pii, quality, simhash, warc
+from . import ann, embed_dedup, mixing, packing, pii, quality, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_tokens", "rate", "copies")
 
 
+def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, without separator, counted in the flat files that hold them all."""
+    return token_files.count(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document: 3-word shingles, links at 3 bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, words=1, max_bits=3)
@@ -79,7 +84,7 @@ def op9_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES = {"op1_co_training": op1_co_training, "op2_soft_mixing": op2_soft_mixing, "op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing, "op6_pivot_permutations": op6_pivot_permutations, "op7_one_bit_codes": op7_one_bit_codes, "op8_seekable_warc": op8_seekable_warc, "op9_pii_tagger": op9_pii_tagger}
+QUERIES = {"op1_co_training": op1_co_training, "op2_soft_mixing": op2_soft_mixing, "op3_separator_scan": op3_separator_scan, "op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing, "op6_pivot_permutations": op6_pivot_permutations, "op7_one_bit_codes": op7_one_bit_codes, "op8_seekable_warc": op8_seekable_warc, "op9_pii_tagger": op9_pii_tagger}
 ORACLE_SQL: dict[str, str] = {
     "op8_seekable_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +72,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     low = links.groupBy("a").agg(F.min("b").alias("b"))
     roots = low.select("b").distinct()
     return low.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select(F.col("b").alias("node"), F.col("b").alias("component")))
+
+
+@contextmanager
+def reading(uri: str):
+    """A file of the shared folder, opened in a task for reading at any place."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        yield f
+
+
+def store(uri: str, data: Iterator[bytes]) -> None:
+    """Write a file under another name and move it into place, so that a repeated task leaves one whole file."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    context = TaskContext.get()
+    part = f"{path}.{context.taskAttemptId() if context else 0}.part"
+    with fs.open_output_stream(part, compression=None) as f:
+        for chunk in data:
+            f.write(chunk)
+    fs.move(part, path)

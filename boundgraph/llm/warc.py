@@ -13,17 +13,16 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from contextlib import contextmanager
+from itertools import chain
 
 import pyarrow as pa
-import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, materialise
+from .shared import fresh_path, materialise, reading, store
 
 FRAME_BYTES = 256 * 1024
 #: Fixed values of the seekable format: skippable frame, footer, and the flag for checksums.
@@ -34,25 +33,6 @@ INDEX = "record_id string, file string, frame int, offset long, length long"
 RECORD = "record_id string, record_type string, refers_to string, target_uri string, payload_bytes long, payload_digest string"
 
 
-@contextmanager
-def _reading(uri: str):
-    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-    with fs.open_input_file(path) as f:
-        yield f
-
-
-def _store(uri: str, data: Iterator[bytes]) -> None:
-    """Write a file under another name and move it into place, so that a repeated task leaves one whole file."""
-    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    context = TaskContext.get()
-    part = f"{path}.{context.taskAttemptId() if context else 0}.part"
-    with fs.open_output_stream(part, compression=None) as f:
-        for chunk in data:
-            f.write(chunk)
-    fs.move(part, path)
-
-
 def record(record_id: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """One WARC record around an HTTP response; with ``refers_to`` a revisit without the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -127,7 +107,7 @@ def write(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, level
 
         def chunks(first: pa.RecordBatch) -> Iterator[bytes]:
             frame, size = [], 0
-            for batch in _chain(first, batches):
+            for batch in chain([first], batches):
                 for i, url, payload, refers in zip(*(batch.column(n) for n in ("record_id", "url", "payload", "refers_to")), strict=True):
                     made = record(i.as_py(), url.as_py(), payload.as_py() or b"", refers.as_py())
                     index.append((i.as_py(), uri, len(table), size, len(made)))
@@ -143,17 +123,12 @@ def write(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, level
 
         first = next((b for b in batches if b.num_rows), None)
         if first is not None:
-            _store(uri, chunks(first))
+            store(uri, chunks(first))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["record_id", "file", "frame", "offset", "length"])
 
     return materialise(records.select("record_id", "url", "payload", "refers_to").mapInArrow(run, INDEX), "warc-index")
 
 
-def _chain(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield first
-    yield from rest
-
-
 def _as_rows(found: list[tuple], payloads: bool) -> pa.RecordBatch:
     """Rows of RECORD from parsed records; every stored payload is held against its digest."""
     rows = []
@@ -180,14 +155,14 @@ def read(files: DataFrame, payloads: bool = False) -> DataFrame:
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                with _reading(uri) as f:
+                with reading(uri) as f:
                     table = seek_table(f)
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(table)), *(pa.array(c, pa.int64()) for c in (list(zip(*table, strict=True)) or [[]] * 4))], names=["file", "at", "packed", "size", "check"])
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(table), pa.string()), *(pa.array(c, pa.int64()) for c in (list(zip(*table, strict=True)) or [[]] * 4))], names=["file", "at", "packed", "size", "check"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, *entry in sorted(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)):
-                with _reading(uri) as f:
+                with reading(uri) as f:
                     data = _frame(f, tuple(entry))
                 found, at = [], 0
                 while at < len(data):
@@ -207,7 +182,7 @@ def fetch(index: DataFrame) -> DataFrame:
             last, data = None, b""
             for uri, frame, offset, length in sorted(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
                 if last != (uri, frame):
-                    with _reading(uri) as f:
+                    with reading(uri) as f:
                         data = _frame(f, seek_table(f)[frame])
                     last = uri, frame
                 yield _as_rows([parse(data[offset : offset + length])], True)
