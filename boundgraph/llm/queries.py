@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, mixing, packing, pii, quality, simhash, token_files, warc
+from . import ann, embed_dedup, mixing, packing, pii, quality, simhash, suffix_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +84,13 @@ def op9_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES = {"op1_co_training": op1_co_training, "op2_soft_mixing": op2_soft_mixing, "op3_separator_scan": op3_separator_scan, "op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing, "op6_pivot_permutations": op6_pivot_permutations, "op7_one_bit_codes": op7_one_bit_codes, "op8_seekable_warc": op8_seekable_warc, "op9_pii_tagger": op9_pii_tagger}
+def op10_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the strings of 100 bytes that start earlier too."""
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_co_training": op1_co_training, "op2_soft_mixing": op2_soft_mixing, "op3_separator_scan": op3_separator_scan, "op4_simhash_pivots": op4_simhash_pivots, "op5_best_fit_packing": op5_best_fit_packing, "op6_pivot_permutations": op6_pivot_permutations, "op7_one_bit_codes": op7_one_bit_codes, "op8_seekable_warc": op8_seekable_warc, "op9_pii_tagger": op9_pii_tagger, "op10_longest_previous_factors": op10_longest_previous_factors}
 ORACLE_SQL: dict[str, str] = {
     "op8_seekable_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
