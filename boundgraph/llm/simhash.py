@@ -43,6 +43,19 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of a text, repeats included."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.zeros(0, dtype="<u8")
+    if len(tokens) < shingle:
+        grams = [b" ".join(tokens)]
+    else:
+        grams = map(b" ".join, zip(*(tokens[i:] for i in range(shingle)), strict=False))
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(g, SEED) for g in grams]), dtype=">u8").astype("<u8")
+
+
 def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> list[int]:
     """The fingerprint of one text as ``words`` unsigned 64-bit integers.
 
@@ -50,15 +63,9 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> list[int]
     of ``shingle`` words counts once per occurrence; a shorter text is one shingle.
     Null and wordless texts give zero.
     """
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
+    h = shingle_hashes(text, shingle)
+    if not len(h):
         return [0] * words
-    if len(tokens) < shingle:
-        grams = [b" ".join(tokens)]
-    else:
-        grams = map(b" ".join, zip(*(tokens[i:] for i in range(shingle)), strict=False))
-    digest = xxhash.xxh64_digest
-    h = np.frombuffer(b"".join([digest(g, SEED) for g in grams]), dtype=">u8").astype("<u8")
     out = []
     for word in range(words):
         ones = np.zeros(64, dtype=np.int64)
@@ -122,8 +129,8 @@ def general_pivots(words: int, n: int = 8) -> np.ndarray:
     return np.random.default_rng(SEED + 1).integers(0, 2**64, size=(n, words), dtype=np.uint64)
 
 
-def close_pairs(f: np.ndarray, group: np.ndarray, max_bits: int, pivots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of the same ``group`` that differ in ``max_bits`` bits at most.
+def close_pairs(f: np.ndarray, group: np.ndarray, max_bits: int, pivots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of rows of the same ``group`` that differ in ``max_bits`` bits at most, and in how many.
 
     Rows are ordered by group and first coordinate, so each row meets only those
     whose first coordinate is within ``max_bits``; the other coordinates discard
@@ -144,8 +151,9 @@ def close_pairs(f: np.ndarray, group: np.ndarray, max_bits: int, pivots: np.ndar
         for p in range(1, table.shape[1]):
             near = np.abs(table[i, p] - table[j, p]) <= max_bits
             i, j = i[near], j[near]
-        near = sum(np.bitwise_count(f[i, w] ^ f[j, w]).astype(np.int16) for w in range(f.shape[1])) <= max_bits
-        yield order[i[near]], order[j[near]]
+        apart = sum(np.bitwise_count(f[i, w] ^ f[j, w]).astype(np.int16) for w in range(f.shape[1]))
+        near = apart <= max_bits
+        yield order[i[near]], order[j[near]], apart[near]
         at = to
 
 
@@ -163,8 +171,38 @@ def local_roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nd
     return root
 
 
+def spanning_forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs ``(i, j, distance)`` of ``n`` rows, those of a minimum spanning forest.
+
+    Between steps only the forest so far is kept, so memory follows the rows, not the pairs.
+    """
+    kept = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)
+    for pair in pairs:
+        if not len(pair[0]):
+            continue
+        i, j, d = (np.concatenate([a, b]) for a, b in zip(kept, pair, strict=True))
+        root, chosen = np.arange(n), []
+        for level in np.unique(d):
+            at = np.flatnonzero(d == level)
+            while True:
+                a, b = root[i[at]], root[j[at]]
+                at, a, b = at[a != b], a[a != b], b[a != b]
+                if not len(at):
+                    break
+                high, first = np.unique(np.maximum(a, b), return_index=True)
+                root[high] = np.minimum(a, b)[first]
+                chosen.append(at[first])
+                while (root[root] != root).any():
+                    root = root[root]
+        chosen = np.concatenate([*chosen, np.zeros(0, np.int64)]).astype(np.int64)
+        kept = i[chosen], j[chosen], d[chosen]
+    return kept[0], kept[1]
+
+
 def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], words: int = 1, block: int = BLOCK) -> DataFrame:
-    """``(a, b)``: links that connect what is within ``max_bits``, at most one per row and bucket.
+    """``(a, b)``: links of at most ``max_bits`` that connect all that are, at most one per row and block.
+
+    They are the closest ones: a minimum spanning forest of every block.
 
     ``nodes(node, f0, ...)`` has each fingerprint once.  A bucket holds the rows that
     agree in one pivot table; one with more than ``block`` rows is dealt by hash into
@@ -197,9 +235,8 @@ def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], words: int =
             f = np.stack([batch.column(n).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)
             order = np.lexsort((ids, group))
             group, ids, f = group[order], ids[order], f[order]
-            root = local_roots(len(ids), close_pairs(f, group, max_bits, general))
-            hung = root != np.arange(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hung]), pa.array(ids[root[hung]])], names=["a", "b"])
+            i, j = spanning_forest(len(ids), close_pairs(f, group, max_bits, general))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], names=["a", "b"])
 
     typed = ", ".join(f"{n} long" for n in names)
     keyed = nodes.select("node", *names).mapInArrow(keys, f"t int, key long, node long, {typed}")
@@ -220,11 +257,38 @@ def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], words: int =
     return alone.union(met).mapInArrow(forest, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, max_bits: int = 3, tables: list[list[int]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, grams)``: sorted hashes of the different shingles of every text, as :func:`fingerprint` forms them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "grams"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, grams array<long>")
+
+
+def alike(found: DataFrame, docs: DataFrame, similarity: float, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The links ``found(a, b)`` whose texts' sets of shingles have a Jaccard similarity of ``similarity`` at least.
+
+    Of rows that share an id any may count.
+    """
+    needed = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
+    sets = materialise(shingle_sets(texts, shingle, "id", "text"), "shingles")
+    joined = found.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return joined.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, max_bits: int = 3, tables: list[list[int]] | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, f0.., component)`` for every row: its fingerprint and the least id reachable by links.
 
     Two fingerprints are linked if they differ in ``max_bits`` bits at most.  Without
-    ``tables`` the result is exact.
+    ``tables`` that is exact.  With ``similarity`` the closest links of every block are held against
+    the texts, and only those stay whose sets of shingles are as similar (Jaccard).
 
     * Null, empty and wordless texts have the fingerprint zero and link like any other.
     * Rows with a null id take part in no link; their component is null.
@@ -237,6 +301,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, max_bits:
     # One document may stand under two texts if its id is repeated: those fingerprints are one node.
     same = prints.where("id is not null").groupBy("id").agg(*(F.min(n).alias(f"lo{i}") for i, n in enumerate(names)), *(F.max(n).alias(f"hi{i}") for i, n in enumerate(names))).where(" or ".join(f"lo{i} <> hi{i}" for i in range(words)))
     twice = prints.join(same.select("id"), "id", "left_semi").join(nodes.select("node", *names), names).select(F.col("id").alias("a"), F.col("node").alias("b"))
-    found = connected_components(links(nodes, max_bits, tables or even_tables(words, max_bits + 1), words).union(twice))
+    linked = links(nodes, max_bits, tables or even_tables(words, max_bits + 1), words)
+    if similarity is not None:
+        linked = alike(materialise(linked, "links"), docs, similarity, shingle, id_col, text_col)
+    found = connected_components(linked.union(twice))
     component = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component"))
     return prints.join(component, names, "left").select("id", *names, F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
