@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..model import RECYCLABLE, GraphError
 
 #: Keys that identify a row and are no part of what it says.
-IDENTITY_KEYS = ("id", "src", "dist", "hid", "_memnet_hid", "elementId")
+IDENTITY_KEYS = ("id", "src", "dist", "hid", "elementId")
 #: Fixed value: what counts as a number in a stored text.
-NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
+NUMBER = r"\A-?\d+(\.\d+)?([eE][+-]?\d+)?\z"
 
 
 def value(key: str, props: str = "props") -> Column:
@@ -72,12 +72,15 @@ def compares(key: str, op: str, other: float | str) -> Column:
         raise GraphError("unsupported_predicate", "ids have no order")
     if op not in _COMPARISONS:
         raise GraphError("unsupported_predicate", op)
-    raw = F.nullif(value(key), F.lit(""))
+    raw, test = F.nullif(value(key), F.lit("")), _COMPARISONS[op]
     if isinstance(other, str):
-        return getattr(raw, _COMPARISONS[op])(F.lit(other))
+        return getattr(raw, test)(F.lit(other))
     number = F.when(F.rlike(raw, F.lit(NUMBER)), raw.try_cast("double"))
-    finite = F.when(F.abs(number) < float("inf"), number)
-    return getattr(finite, _COMPARISONS[op])(F.lit(float(other)))
+    rough = getattr(F.when(F.abs(number) < float("inf"), number), test)(F.lit(float(other)))
+    if isinstance(other, int) and abs(other) < 10**37:  # whole numbers beyond 2 ** 53 compare exactly
+        whole = F.when(F.rlike(raw, F.lit(r"\A-?\d{1,37}\z")), raw.try_cast("decimal(38,0)"))
+        return F.coalesce(getattr(whole, test)(F.lit(str(other)).cast("decimal(38,0)")), rough)
+    return rough
 
 
 def mistyped(key: str) -> Column:
@@ -137,17 +140,3 @@ def fold_relation(name: Column) -> Column:
 def overlaid(under: str, over: str) -> Column:
     """One map of two; where both have a key, that of ``over`` counts unless it is empty."""
     return F.map_zip_with(under, over, lambda k, a, b: F.coalesce(F.nullif(b, F.lit("")), a, b))
-
-
-def escaped(text: Column) -> Column:
-    """A value as it stands in a line of fields: backslash, bar and line ends escaped."""
-    for raw, safe in (("\\", "\\\\"), ("|", "\\|"), ("\n", "\\n"), ("\r", "\\r")):
-        text = F.replace(text, F.lit(raw), F.lit(safe))
-    return text
-
-
-def shaped(tag: Column, pairs: Column) -> Column:
-    """A node as text: ``(:TAG {key: 'value'})``."""
-    quoted = lambda v: F.concat(F.lit("'"), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
-    body = F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit(": "), quoted(p["value"]))), ", ")
-    return F.concat(F.lit("(:"), tag, F.when(F.size(pairs) > 0, F.concat(F.lit(" {"), body, F.lit("}"))).otherwise(""), F.lit(")"))

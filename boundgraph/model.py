@@ -1,18 +1,25 @@
-"""The graph: two DataFrames, limits, errors, and where intermediate results are kept."""
+"""The graph: two DataFrames, limits, errors.
+
+``nodes(hid, tag, props)`` and ``edges(hid, relation, src, dist, props)``.  ``hid``, the
+handle, is unique among all rows; ``props`` maps names to texts; the property ``id`` is
+a nickname that rows may share.  Wherever an order is needed and ranks tie, handles
+decide, so results do not depend on how rows are dealt to tasks.
+"""
 
 from __future__ import annotations
 
-import tempfile
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = "hid string, tag string, props map<string,string>"
 EDGE_SCHEMA = "hid string, relation string, src string, dist string, props map<string,string>"
-#: Rows that are rules or wiring rather than content, and life cycles that end.
+#: The tag of rules and of edges, life cycles that end, tags that are no orphans.
 LAW, EDGE_TAG = "LAW", "EDG"
 RECYCLABLE = ("delete_on_settle", "delete_on_expire")
+ORPHAN_EXEMPT = ("LAW", "CFG", "SYS", "PLR")
+RESERVED_TAGS = ("SESSION", "ERR", "WRN", "STAT", "REL", "DEL")
 
 
 class GraphError(Exception):
@@ -31,15 +38,19 @@ class Limits:
     fanout: int = 256
     rows: int = 50
     walk_hops: int = 10
+    walk_rows: int = 500
+    batch: int = 1000
     graph_rows: int | None = None
     laws: int = 100
     fields: int = 64
     value_bytes: int = 32768
+    shell_nodes: int = 8
+    shell_edges: int = 12
 
 
 @dataclass(frozen=True)
 class Graph:
-    """``nodes(hid, tag, props)`` and ``edges(hid, relation, src, dist, props)``; ``hid`` is unique among all rows."""
+    """One version of a graph; operators that write return the next."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -50,20 +61,17 @@ class Graph:
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
 
+    def after(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> Graph:
+        """The next version, with other nodes or edges."""
+        nodes, edges = nodes or self.nodes, edges or self.edges
+        return replace(self, nodes=nodes.select("hid", "tag", "props"), edges=edges.select("hid", "relation", "src", "dist", "props"), version=self.version + 1)
+
 
 def from_rows(spark: SparkSession, nodes: list, edges: list, limits: Limits | None = None) -> Graph:
     """A small literal graph, for fixtures and change sets."""
     return Graph(spark.createDataFrame(nodes, NODE_SCHEMA), spark.createDataFrame(edges, EDGE_SCHEMA), limits or Limits())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, checkpointed to the folder that the cluster names in ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="boundgraph-"))
-    return df.checkpoint()
-
-
-def nickname(props: str = "props"):
+def nickname(props: str = "props") -> Column:
+    """The property ``id``; null where it is missing or empty."""
     return F.nullif(F.coalesce(F.try_element_at(props, F.lit("id")), F.lit("")), F.lit(""))
