@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import props as P
 from ..functions import text as T
-from ..model import EDGE_TAG, Graph
+from ..model import EDGE_TAG, Graph, nickname
 from .seeds import endpoints, records
 
 
@@ -26,10 +26,10 @@ def edge_lines(graph: Graph, edges: DataFrame | None = None) -> DataFrame:
 
 
 def schema_of(graph: Graph) -> dict[str, list[str]]:
-    """The properties in use by tag, the nickname first; edges begin with their ends."""
+    """The properties in use by tag, nickname and handle first; edges go on with their ends."""
     found = records(graph).select("tag", F.explode(F.map_keys("props")).alias("key")).distinct().groupBy("tag").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    first = {EDGE_TAG: ["id", "src", "relation", "dist"]}
-    return {r["tag"]: [*(head := first.get(r["tag"], ["id"])), *(k for k in r["keys"] if k not in head)] for r in found.orderBy("tag").collect()}
+    first = {EDGE_TAG: ["id", "hid", "src", "relation", "dist"]}
+    return {r["tag"]: [*(head := first.get(r["tag"], ["id", "hid"])), *(k for k in r["keys"] if k not in head)] for r in found.orderBy("tag").collect()}
 
 
 def pipe_lines(rows: DataFrame, schema: dict[str, list[str]]) -> DataFrame:
@@ -46,7 +46,8 @@ def snapshot_lines(graph: Graph, session: str, schema: dict[str, list[str]] | No
     schema = schema_of(graph) if schema is None else schema
     head = spark.createDataFrame([(0, "", "# graph-snapshot-v1"), (0, "~", f"@SNAP: 2|{session}|{graph.version}"), *((1, tag, f"SCHEMA {tag} ; fields={' '.join(keys)}") for tag, keys in schema.items())], "part int, hid string, line string")
     relations = graph.edges.select(P.fold_relation(F.col("relation")).alias("r")).distinct().select(F.lit(2).alias("part"), F.col("r").alias("hid"), F.concat(F.lit("@REL: "), "r").alias("line"))
-    return head.union(relations).union(pipe_lines(records(graph), schema).select(F.lit(3), "hid", "line"))
+    rows = records(graph).withColumn("own", F.create_map(F.lit("hid"), F.col("hid"))).select("hid", "tag", P.overlaid("props", "own").alias("props"))
+    return head.union(relations).union(pipe_lines(rows, schema).select(F.lit(3), "hid", "line"))
 
 
 def write_snapshot(graph: Graph, path: str, session: str) -> None:
@@ -55,8 +56,12 @@ def write_snapshot(graph: Graph, path: str, session: str) -> None:
 
 
 def write_jsonl(graph: Graph, path: str) -> None:
-    """One JSON object per row: tag and properties, without handles."""
-    records(graph).select("tag", "props").write.json(path)
+    """One JSON object per row: tag and properties, without handles; edges name their ends by nickname."""
+    settled = graph.nodes.select("hid", nickname().alias("nick")).where("nick is not null").groupBy("nick").agg(F.min("hid").alias("hid"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    edges = graph.edges
+    for end in ("src", "dist"):
+        edges = edges.join(settled.select(F.col("hid").alias(end), "nick"), end, "left").withColumn(end, F.coalesce("nick", end)).drop("nick")
+    records(Graph(graph.nodes, edges.select("hid", "relation", "src", "dist", "props"))).select("tag", "props").write.json(path)
 
 
 def save(graph: Graph, path: str) -> None:

@@ -42,7 +42,7 @@ def absorb(graph: Graph, pairs: DataFrame) -> Graph:
     joined = pairs.join(own.select(F.col("hid").alias("keep"), F.col("tag").alias("tag_k"), F.col("props").alias("props_k")), "keep", "left").join(own.select(F.col("hid").alias("drop"), F.col("tag").alias("tag_d"), F.col("props").alias("props_d")), "drop", "left")
     bad = joined.where("tag_k is null or tag_d is null or tag_k <> tag_d").select("tag_k", "tag_d").limit(1).collect()
     if bad:
-        raise GraphError("not_found" if None in bad[0] else "id_conflict", "both nodes exist and have the same tag")
+        raise GraphError("not_found" if None in tuple(bad[0]) else "id_conflict", "both nodes exist and have the same tag")
     # Several nodes may go up in one: by handle, first come first.
     fills = joined.select("keep", "drop", F.explode("props_d").alias("key", "value")).where("value <> '' and key not in ('src', 'dist', 'relation', 'aka', 'AKA')").groupBy("keep", "key").agg(F.min(F.struct("drop", "value")).alias("m"))
     filled = fills.groupBy("keep").agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("m.value").alias("value")))).alias("fill"))

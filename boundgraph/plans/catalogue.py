@@ -697,9 +697,9 @@ def emit_edges(g: Graph) -> DataFrame:
 
 
 @query("""
-SELECT '@CUS: ' || hid || '|' || props['acctbal'] || '|' || replace(props['name'], '|', '\\|') || '|' || props['segment'] AS line FROM nodes WHERE tag = 'CUS' UNION ALL
-SELECT '@EDG: |' || src || '|' || relation || '|' || dist FROM edges WHERE relation = 'placed' UNION ALL SELECT '@REL: placed' UNION ALL SELECT '# graph-snapshot-v1' UNION ALL SELECT '@SNAP: 2|s|0'
-UNION ALL SELECT 'SCHEMA CUS ; fields=id acctbal name segment' UNION ALL SELECT 'SCHEMA EDG ; fields=id src relation dist'""")
+SELECT '@CUS: ' || hid || '|' || hid || '|' || props['acctbal'] || '|' || replace(props['name'], '|', '\\|') || '|' || props['segment'] AS line FROM nodes WHERE tag = 'CUS' UNION ALL
+SELECT '@EDG: |' || hid || '|' || src || '|' || relation || '|' || dist FROM edges WHERE relation = 'placed' UNION ALL SELECT '@REL: placed' UNION ALL SELECT '# graph-snapshot-v1' UNION ALL SELECT '@SNAP: 2|s|0'
+UNION ALL SELECT 'SCHEMA CUS ; fields=id hid acctbal name segment' UNION ALL SELECT 'SCHEMA EDG ; fields=id hid src relation dist'""")
 def snapshot_lines(g: Graph) -> DataFrame:
     """Customers and their orders' edges as a snapshot in text."""
     return emit.snapshot_lines(Graph(g.nodes.where("tag = 'CUS'"), g.edges.where("relation = 'placed'"), g.limits), "s").select("line")

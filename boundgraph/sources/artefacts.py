@@ -22,7 +22,7 @@ EMPTY = "map<string,string>"
 
 def files(spark: SparkSession, path: str, pattern: str, max_files: int | None = 64) -> DataFrame:
     """``(path, text)`` of the files below ``path`` whose names match; ``ingest_budget`` beyond ``max_files``."""
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     if max_files is not None and found.select("path").limit(max_files + 1).count() > max_files:
         raise GraphError("ingest_budget", f"more than {max_files} files")
     return found

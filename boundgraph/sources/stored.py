@@ -36,8 +36,11 @@ def split(rows: DataFrame, limits: Limits | None = None) -> Graph:
     return Graph(nodes, edges.select("hid", "relation", "src", "dist", "props"), limits or Limits())
 
 
-def _schema_lines(lines: DataFrame) -> dict[str, list[str]]:
-    """Fields by tag from ``SCHEMA TAG ; fields=a b`` and ``@TAG: a|b`` lines of a schema, which are few."""
+def _schema_lines(lines: DataFrame, fixed_too: bool = False) -> dict[str, list[str]]:
+    """Fields by tag from ``SCHEMA TAG ; fields=a b`` and ``@TAG: a|b`` lines of a schema, which are few.
+
+    The fixed tags keep their own fields unless ``fixed_too``.
+    """
     out = dict(FIXED)
     for (line,) in lines.select("value").limit(10_000).collect():
         tag, fields = (line[7:].split(" ; fields=", 1)[0].strip(), line.split(" ; fields=", 1)[1].split()) if line.startswith("SCHEMA ") else (line[1:].split(":", 1)[0].strip(), line.split(":", 1)[1].strip().split("|"))
@@ -45,7 +48,7 @@ def _schema_lines(lines: DataFrame) -> dict[str, list[str]]:
             raise GraphError("reserved_tag", tag)
         if tag in out and tag not in FIXED:
             raise GraphError("duplicate_tag", tag)
-        if tag not in FIXED:
+        if fixed_too or tag not in FIXED:
             out[tag.upper()] = fields
     return out
 
@@ -63,7 +66,7 @@ def from_lines(lines: DataFrame, schema: dict[str, list[str]], limits: Limits |
     schema has.  Rows without nickname get one from the text of their line.
     """
     tag = F.regexp_extract("value", r"\A@([A-Za-z]+): ?", 1)
-    rows = lines.withColumn("tag", F.upper(tag)).where((F.col("tag") != "") & ~F.col("tag").isin(*RESERVED_TAGS))
+    rows = lines.withColumn("tag", F.upper(tag)).where((F.col("tag") != "") & ~F.col("tag").isin("SNAP", *RESERVED_TAGS))
     keys = F.create_map(*(x for t, f in schema.items() for x in (F.lit(t), F.array(*map(F.lit, f)))))
     rows = rows.withColumn("keys", F.try_element_at(keys, F.col("tag"))).withColumn("body", F.regexp_replace("value", r"\A@[A-Za-z]+: ?", "")).withColumn("values", T.fields(F.col("body")))
     # An edge line may end before its life cycle.
@@ -75,17 +78,16 @@ def from_lines(lines: DataFrame, schema: dict[str, list[str]], limits: Limits |
     nick = T.leftover_nick(F.col("tag"), F.concat("tag", F.lit("|"), "body"))
     rows = rows.withColumn("nick", F.coalesce(nickname(), F.when(F.col("tag") != EDGE_TAG, nick)))
     hid = F.coalesce(F.concat(F.when(F.col("tag") == EDGE_TAG, F.lit("e:")).otherwise(F.lit("")), "nick"), F.concat(F.lit("e:"), F.substring(F.sha2(F.col("body").cast("binary"), 256), 1, 24)))
-    own = F.create_map(F.lit("id"), F.coalesce("nick", F.lit("")))
-    return split(rows.withColumn("own", own).select(hid.alias("hid"), "tag", P.overlaid("props", "own").alias("props")), limits)
+    hid = F.coalesce(F.nullif(P.value("hid"), F.lit("")), hid)  # a snapshot keeps handles
+    own = F.create_map(F.lit("id"), F.when(P.value("hid") != "", P.value("id")).otherwise(F.coalesce("nick", F.lit(""))))
+    whole = F.map_filter(P.overlaid("props", "own"), lambda k, v: (k != "hid") & ~((k == "id") & (v == "")))
+    return split(rows.withColumn("own", own).select(hid.alias("hid"), "tag", whole.alias("props")), limits)
 
 
 def read_snapshot(spark: SparkSession, path: str, limits: Limits | None = None) -> Graph:
     """A snapshot in text, one file or many."""
     lines = spark.read.option("lineSep", "\n").text(path)
-    schema = _schema_lines(lines.where(F.startswith("value", F.lit("SCHEMA "))))
-    found = lines.where(F.startswith("value", F.lit("SCHEMA EDG ; fields="))).limit(1).collect()
-    if found:
-        schema[EDGE_TAG] = found[0][0].split(" ; fields=", 1)[1].split()
+    schema = _schema_lines(lines.where(F.startswith("value", F.lit("SCHEMA "))), fixed_too=True)
     return from_lines(lines, schema, limits)
 
 
