@@ -201,8 +201,8 @@ def co_train(text: Sparse, meta: Sparse, y: np.ndarray, pool_text: Sparse, pool_
 
 def _sparse(lists: list[np.ndarray], dense: np.ndarray) -> Sparse:
     sizes = [len(x) for x in lists]
-    columns = np.concatenate([*lists, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-    return Sparse(np.repeat(np.arange(len(lists)), sizes), columns, dense)
+    columns = np.concatenate([*lists, np.zeros(0, dtype=np.int32)]).astype(np.int32)
+    return Sparse(np.repeat(np.arange(len(lists), dtype=np.int32), sizes), columns, dense)
 
 
 def _columns(docs: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -218,12 +218,15 @@ def _sample(rows: DataFrame, ids: DataFrame) -> tuple[Sparse, Sparse, np.ndarray
             out = []
             for r in batch.itertuples(index=False):
                 words, shape = text_features(r.text)
-                out.append((r.id, r.good, np.unique([word_hash(w) for w in words]).astype(np.int64), shape, meta_features(r.lang, r.source, None if pd.isna(r.n_chars) else int(r.n_chars))))
+                meta = np.unique(meta_features(r.lang, r.source, None if pd.isna(r.n_chars) else int(r.n_chars)))
+                out.append((r.id, r.good, np.unique([word_hash(w) for w in words]).astype("<i4").tobytes(), np.array(shape, dtype="<f8").tobytes(), meta.astype("<i4").tobytes()))
             yield pd.DataFrame(out, columns=["id", "good", "words", "shape", "meta"])
 
-    found = rows.join(F.broadcast(ids), "id").mapInPandas(run, "id long, good double, words array<long>, shape array<double>, meta array<long>").toPandas().sort_values("id", kind="stable")
-    shape = np.array(found["shape"].tolist(), dtype=float).reshape(-1, SHAPES)
-    return _sparse(list(found["words"]), shape), _sparse([np.unique(m) for m in found["meta"]], np.zeros((len(found), 1))), found["good"].to_numpy(dtype=float)
+    # Features come as packed bytes in Arrow batches: four bytes for each, on the driver too.
+    found = rows.join(F.broadcast(ids), "id").mapInPandas(run, "id long, good double, words binary, shape binary, meta binary").toArrow().sort_by("id")
+    packed = lambda name, kind: [np.frombuffer(x.as_buffer(), dtype=kind) for x in found.column(name)]
+    shape = np.array(packed("shape", "<f8"), dtype=float).reshape(-1, SHAPES)
+    return _sparse(packed("words", "<i4"), shape), _sparse(packed("meta", "<i4"), np.zeros((found.num_rows, 1))), found.column("good").to_numpy().astype(float)
 
 
 def train(docs: DataFrame, labels: DataFrame, names: dict[str, str] | None = None, labelled: int = LABELLED, pool: int = POOL) -> Model:
