@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import props as P
 from ..functions import text as T
-from ..model import LAW, ORPHAN_EXEMPT, Graph, nickname
+from ..model import EDGE_TAG, LAW, ORPHAN_EXEMPT, Graph, nickname
+from ..storage import materialise
 from .seeds import records
 
 CONTAINS = "contains"
@@ -25,13 +26,15 @@ def tokens(graph: Graph) -> DataFrame:
 def dangling(graph: Graph) -> DataFrame:
     """Edges an end of which names no node that is alive and no rule."""
     known = tokens(graph).select("token").distinct()
-    missing = [graph.edges.join(known, F.col(end) == F.col("token"), "left_anti") for end in ("src", "dist")]
-    return missing[0].union(missing[1].join(known, F.col("src") == F.col("token"), "left_semi"))
+    edges = graph.edges
+    for end in ("src", "dist"):
+        edges = edges.join(known.withColumnRenamed("token", f"known_{end}"), F.col(end) == F.col(f"known_{end}"), "left")
+    return edges.where("known_src is null or known_dist is null").select("hid", "relation", "src", "dist", "props")
 
 
 def referenced(graph: Graph) -> DataFrame:
     """``(token)``: whatever edges name, once."""
-    return graph.edges.select(F.col("src").alias("token")).union(graph.edges.select(F.col("dist").alias("token"))).distinct()
+    return graph.edges.select(F.explode(F.array("src", "dist")).alias("token")).distinct()
 
 
 def orphans(graph: Graph, tag: str | None = None, include_tags: Iterable[str] = ()) -> DataFrame:
@@ -59,18 +62,13 @@ def stale(graph: Graph) -> DataFrame:
 
 def stats(graph: Graph) -> DataFrame:
     """One row: rows, rules, edges, relations, recyclable, dangling, orphans."""
-    one = lambda df, name, n: df.agg(n.cast("long").alias("n")).select(F.lit(name).alias("what"), "n")
-    rows, many = records(graph), F.count(F.lit(1))
-    live = rows.where(F.col("tag") != LAW)
-    parts = [
-        one(live, "rows", many),
-        one(rows.where(F.col("tag") == LAW), "laws", many),
-        one(graph.edges, "edges", many),
-        one(graph.edges.select(P.fold_relation(F.col("relation")).alias("r")).distinct(), "relations", many),
-        one(live.where(P.recyclable()), "recyclable", many),
-        one(dangling(graph), "dangling", many),
-        one(orphans(graph), "orphans", many),
-    ]
+    many = F.count(F.lit(1))
+    law, edge, gone = F.col("tag") == LAW, F.col("tag") == EDGE_TAG, P.recyclable()
+    # One pass counts what each row shows on its own, by tag and relation; two more find what is broken.
+    by_kind = records(graph).groupBy("tag", F.when(edge, P.fold_relation(P.value("relation"))).alias("relation")).agg(many.alias("n"), F.count_if(gone & ~law).alias("gone"))
+    counted = by_kind.agg(F.sum(F.when(~law, F.col("n"))).alias("rows"), F.sum(F.when(law, F.col("n"))).alias("laws"), F.sum(F.when(edge, F.col("n"))).alias("edges"), F.count_if(edge).alias("relations"), F.sum("gone").alias("recyclable"))
+    parts = [counted.select(F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(c), F.coalesce(F.col(c), F.lit(0)).cast("long")) for c in counted.columns)))).alias("what", "n"))]
+    parts += [df.agg(many.alias("n")).select(F.lit(name).alias("what"), "n") for name, df in (("dangling", dangling(graph)), ("orphans", orphans(graph)))]
     names = ["rows", "laws", "edges", "relations", "recyclable", "dangling", "orphans"]
     return reduce(DataFrame.union, parts).agg(*(F.sum(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in names))
 
@@ -126,9 +124,9 @@ def residual_degree(graph: Graph, active_only: bool = True) -> DataFrame:
 
 def peaks(graph: Graph, active_only: bool = True) -> DataFrame:
     """``(hid, rho)``: nodes with edges of which no neighbour has more."""
-    steps = residual_steps(graph, active_only)
+    steps = materialise(residual_steps(graph, active_only).select("at", "far", "far_tag"), "steps")
     rho = steps.groupBy(F.col("at").alias("hid")).agg(F.count(F.lit(1)).alias("rho"))
-    beside = steps.where((F.col("far_tag") != LAW) & (F.col("far") != F.col("at"))).select("at", "far").distinct()
+    beside = steps.where((F.col("far_tag") != LAW) & (F.col("far") != F.col("at")))
     highest = beside.join(rho.withColumnRenamed("hid", "far"), "far").groupBy(F.col("at").alias("hid")).agg(F.max("rho").alias("most"))
     return rho.join(highest, "hid", "left").where("most is null or rho >= most").select("hid", "rho")
 

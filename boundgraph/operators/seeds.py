@@ -97,11 +97,11 @@ def resolve(graph: Graph, tokens: DataFrame, token: str = "token") -> DataFrame:
     ``hits`` is how many rows a nickname has; ``hid`` is null unless it is settled.
     """
     asked = tokens.select(F.col(token).alias("t")).where("t is not null").distinct()
-    rows = records(graph).select("hid", nickname().alias("nick"))
-    by_hid = rows.select("hid").join(asked, F.col("hid") == F.col("t"), "left_semi").select(F.col("hid").alias("t"), F.col("hid").alias("own"))
-    by_nick = rows.join(asked, F.col("nick") == F.col("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("hid").alias("named"))
-    both = by_nick.join(by_hid, "t", "full_outer")
-    answer = both.select("t", F.coalesce("own", F.when(F.col("n") == 1, F.col("named"))).alias("hid"), F.when(F.col("own").isNotNull(), 1).otherwise(F.col("n")).cast("long").alias("hits"))
+    rows = graph.nodes.select("hid", nickname().alias("nick")).union(graph.edges.select("hid", nickname()))
+    named = rows.select("hid", "nick", F.explode(F.array_distinct(F.filter(F.array("hid", "nick"), lambda t: t.isNotNull()))).alias("t"))
+    own, nick = F.col("hid") == F.col("t"), F.col("nick") == F.col("t")
+    met = named.join(asked, "t", "left_semi").groupBy("t").agg(F.max(F.when(own, F.col("hid"))).alias("own"), F.count_if(nick).alias("n"), F.min(F.when(nick, F.col("hid"))).alias("named"))
+    answer = met.select("t", F.coalesce("own", F.when(F.col("n") == 1, F.col("named"))).alias("hid"), F.when(F.col("own").isNotNull(), 1).otherwise(F.col("n")).cast("long").alias("hits"))
     return tokens.join(answer, F.col(token) == F.col("t"), "left").drop("t").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
 
 

@@ -10,6 +10,7 @@ lineage stays short and a lost executor costs a re-read.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,20 +26,23 @@ LAW_RELATIONS = ("governs", "features", "constrains", "applies_to")
 ENGINE_LAW = r"\ALAW0[1-5]\z"
 
 
-def spread(seeds: DataFrame, steps: DataFrame | Callable[[DataFrame], DataFrame], hops: int, within: DataFrame | None = None, stop: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def spread(seeds: DataFrame, steps: DataFrame | Callable[[DataFrame], DataFrame], hops: int, within: DataFrame | None = None, crossed: list[DataFrame] | None = None) -> DataFrame:
     """``(seed, node, hop, parent, edge, forward, path)``: every node within ``hops`` of each seed, once.
 
     ``seeds(seed, node)``; ``steps(at, far, edge, forward)``, or a function that gives the steps of a
-    frontier ``(at)``.  ``within(node)`` restricts the nodes that are entered.  ``stop`` maps the
-    latest level to the rows from which the walk goes on.
+    frontier ``(at)``.  ``within(node)`` restricts the nodes that are entered.  ``crossed`` gathers
+    ``(seed, edge)`` of all steps that were looked at, level by level.
     """
     start = seeds.select("seed", "node").distinct().select("seed", "node", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("edge"), F.lit(None).cast("boolean").alias("forward"), F.array().cast(f"array<{STEP}>").alias("path"))
     level = materialise(start, "level")
     levels = [level]
     for hop in range(1, hops + 1):
-        front = stop(level) if stop else level
-        ways = steps(front.select(F.col("node").alias("at")).distinct()) if callable(steps) else steps
-        met = front.select("seed", F.col("node").alias("at"), "path").join(ways.select("at", "far", "edge", "forward"), "at")
+        ways = steps(level.select(F.col("node").alias("at")).distinct()) if callable(steps) else steps
+        ways = ways.select("at", "far", "edge", "forward")
+        if crossed is not None:
+            ways = materialise(ways, "ways")
+            crossed.append(level.select("seed", F.col("node").alias("at")).join(ways, "at").select("seed", "edge"))
+        met = level.select("seed", F.col("node").alias("at"), "path").join(ways, "at")
         step = F.struct("edge", F.col("far").alias("node"), "forward").cast(STEP)
         first = met.groupBy("seed", F.col("far").alias("node")).agg(F.min(F.struct(F.array_append("path", step).alias("path"), F.col("at").alias("parent"))).alias("m"))
         last = F.element_at("m.path", -1)
@@ -70,17 +74,22 @@ def seeds_of(graph: Graph, found: DataFrame) -> DataFrame:
 def clamped(graph: Graph, fanout: int | None = None) -> Callable[[DataFrame], DataFrame]:
     """Steps both ways, of which each node's outward ones are its first ``fanout`` by rank.
 
-    The ranks are cut to ``fanout`` in every task before anything moves, so a hub's edges
-    never meet in one task.  Inward steps are not cut.
+    Only nodes with more edges than that are ranked, and their ranks are cut to ``fanout`` in
+    every task before anything moves, so a hub's edges never meet in one task.  Inward
+    steps are not cut.
     """
     most = graph.limits.fanout if fanout is None else fanout
 
     def steps(front: DataFrame) -> DataFrame:
         out = graph.edges.join(front, F.col("src") == F.col("at"), "left_semi")
-        far = graph.nodes.select(F.col("hid").alias("dist"), F.col("tag").alias("far_tag"), P.payload().alias("far_pairs"))
-        order = [P.fold_relation(F.col("relation")), F.coalesce("far_tag", F.lit("")), F.coalesce("far_pairs", F.array().cast("array<struct<key:string,value:string>>")), P.payload(), F.col("hid")]
-        first = out.join(far, "dist", "left").withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(*order))).where(F.col("k") <= most)
-        away = adjacency(first.select("hid", "relation", "src", "dist", "props"), direction="out")
+        wide = materialise(out.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("src"), "wide")
+        away = adjacency(out, direction="out")
+        if not wide.isEmpty():
+            far = graph.nodes.select(F.col("hid").alias("dist"), F.col("tag").alias("far_tag"), P.payload().alias("far_pairs"))
+            order = [P.fold_relation(F.col("relation")), F.coalesce("far_tag", F.lit("")), F.coalesce("far_pairs", F.array().cast("array<struct<key:string,value:string>>")), P.payload(), F.col("hid")]
+            ranked = out.join(wide, "src", "left_semi").join(far, "dist", "left").withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(*order))).where(F.col("k") <= most)
+            narrow = out.join(wide, "src", "left_anti")
+            away = adjacency(narrow.union(ranked.select(*narrow.columns)), direction="out")
         return away.union(adjacency(graph.edges, direction="in").where("at <> far").join(front, "at", "left_semi").select(*away.columns))
 
     return steps
@@ -97,18 +106,14 @@ def clip_notes(graph: Graph, reached: DataFrame, depth: int, fanout: int | None
     return out
 
 
-def neighbours(graph: Graph, seeds: DataFrame, depth: int = 1, fanout: int | None = None) -> DataFrame:
-    """``(seed, node, hop, ..)``: nodes within ``depth`` edges in either direction, seeds included."""
+def neighbours(graph: Graph, seeds: DataFrame, depth: int = 1, fanout: int | None = None, crossed: list[DataFrame] | None = None) -> DataFrame:
+    """``(seed, node, hop, ..)``: nodes within ``depth`` edges in either direction, seeds included.
+
+    ``crossed`` gathers ``(seed, edge)`` of the edges that the walk looked at.
+    """
     known = live_nodes(graph)
     start = seeds.join(known, "node", "left_semi").select("seed", "node")
-    return spread(start, clamped(graph, fanout), min(depth, graph.limits.depth), within=known)
-
-
-def crossed_edges(graph: Graph, reached: DataFrame, depth: int, fanout: int | None = None) -> DataFrame:
-    """``(seed, edge)``: edges that the walk looked at from nodes less than ``depth`` away."""
-    inner = reached.where(F.col("hop") < min(depth, graph.limits.depth)).select("seed", F.col("node").alias("at"))
-    ways = clamped(graph, fanout)(inner.select("at").distinct())
-    return inner.join(ways, "at").select("seed", "edge").distinct()
+    return spread(start, clamped(graph, fanout), min(depth, graph.limits.depth), within=known, crossed=crossed)
 
 
 def context_pack(graph: Graph, anchors: DataFrame, depth: int = 2, max_rows: int | None = None, active_only: bool = False, law_prepend: bool = True) -> DataFrame:
@@ -119,8 +124,10 @@ def context_pack(graph: Graph, anchors: DataFrame, depth: int = 2, max_rows: int
     and rules stand before it.
     """
     most = graph.limits.rows if max_rows is None else max_rows
-    reached = materialise(neighbours(graph, anchors.select(F.col("pack").alias("seed"), "node"), depth), "reached")
-    edges = crossed_edges(graph, reached, depth).join(graph.edges.withColumnRenamed("hid", "edge"), "edge")
+    seen: list[DataFrame] = []
+    reached = neighbours(graph, anchors.select(F.col("pack").alias("seed"), "node"), depth, crossed=seen)
+    none = reached.select("seed", "edge").where(F.lit(False))
+    edges = reduce(DataFrame.union, seen, none).distinct().join(graph.edges.withColumnRenamed("hid", "edge"), "edge")
     nodes = reached.join(graph.nodes.withColumnRenamed("hid", "node"), "node").select(F.col("seed").alias("pack"), F.when(F.col("hop") == 0, 0).otherwise(1).alias("part"), F.col("node").alias("hid"), "tag", "props", F.lit("").alias("relation"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dist"))
     rows = nodes.union(edges.select(F.col("seed").alias("pack"), F.lit(2), F.col("edge").alias("hid"), F.lit("EDG"), "props", P.fold_relation(F.col("relation")), "src", "dist"))
     if active_only:
