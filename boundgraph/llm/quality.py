@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import release
+
 #: Labelled documents and documents of the unlabelled pool that fitting takes at most.
 LABELLED, POOL = 12000, 4000
 #: Hashed features of each view, by bits; rounds, and the calibrated probability that counts as sure.
@@ -29,6 +31,8 @@ TEXT_BITS, META_BITS, ROUNDS, SURE = 18, 10, 4, 0.97
 #: A word counts as a feature if its chi-square against the labels is at least this.
 CHI_SQUARE = 16.0
 SHAPES = 9
+#: Features that are counted in one step.
+SLICE = 1 << 19
 _LOWER = bytes(range(97, 123))
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
@@ -65,6 +69,15 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * z) + 1)
 
 
+def _sums(index: np.ndarray, n: int, weights: Callable[[slice], np.ndarray] | None = None) -> np.ndarray:
+    """``np.bincount`` in slices, so that no copy of all features in another type is made."""
+    out = np.zeros(n)
+    for at in range(0, len(index), SLICE):
+        part = slice(at, at + SLICE)
+        out += np.bincount(index[part], weights=weights(part) if weights else None, minlength=n)
+    return out
+
+
 @dataclass
 class Sparse:
     """Rows of binary features ``columns`` (with row numbers) and of dense ones."""
@@ -74,13 +87,13 @@ class Sparse:
     dense: np.ndarray
 
     def take(self, which: np.ndarray) -> Sparse:
-        place = np.full(len(self.dense), -1)
-        place[which] = np.arange(len(which))
+        place = np.full(len(self.dense), -1, dtype=np.int32)
+        place[which] = np.arange(len(which), dtype=np.int32)
         kept = place[self.rows] >= 0
         return Sparse(place[self.rows[kept]], self.columns[kept], self.dense[which])
 
     def plus(self, other: Sparse) -> Sparse:
-        return Sparse(np.concatenate([self.rows, other.rows + len(self.dense)]), np.concatenate([self.columns, other.columns]), np.concatenate([self.dense, other.dense]))
+        return Sparse(np.concatenate([self.rows, other.rows + np.int32(len(self.dense))]), np.concatenate([self.columns, other.columns]), np.concatenate([self.dense, other.dense]))
 
 
 class View:
@@ -93,8 +106,8 @@ class View:
 
     def fit(self, x: Sparse, y: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 2e-4) -> View:
         n, width = len(y), len(self.w)
-        seen = np.bincount(x.columns, minlength=width)
-        good = np.bincount(x.columns, weights=y[x.rows], minlength=width)
+        seen = _sums(x.columns, width)
+        good = _sums(x.columns, width, lambda part: y[x.rows[part]])
         share = y.mean()
         expected = seen * share
         chi = (good - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - seen / (n + 1e-9)) + 1e-9, 1e-9)
@@ -116,7 +129,7 @@ class View:
         return self
 
     def raw(self, x: Sparse) -> np.ndarray:
-        return np.bincount(x.rows, weights=self.w[x.columns], minlength=len(x.dense)) + (x.dense - self.mean) / self.deviation @ self.d + self.b
+        return _sums(x.rows, len(x.dense), lambda part: self.w[x.columns[part]]) + (x.dense - self.mean) / self.deviation @ self.d + self.b
 
     def calibrate(self, x: Sparse, y: np.ndarray) -> View:
         """Platt scaling on rows that the weights were not fitted on."""
@@ -241,7 +254,10 @@ def train(docs: DataFrame, labels: DataFrame, names: dict[str, str] | None = Non
     others = rows.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(pool).select("id", F.lit(0.0).alias("good"))
     text, meta, y = _sample(rows, drawn)
     pool_text, pool_meta, _ = _sample(rows, others)
-    return co_train(text, meta, y, pool_text, pool_meta)
+    model = co_train(text, meta, y, pool_text, pool_meta)
+    del text, meta, pool_text, pool_meta
+    release()
+    return model
 
 
 class _Weights(dict):
