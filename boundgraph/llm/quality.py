@@ -104,7 +104,7 @@ class View:
         self.mean, self.deviation = np.zeros(dense), np.ones(dense)
         self.slope, self.shift = 1.0, 0.0
 
-    def fit(self, x: Sparse, y: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 2e-4) -> View:
+    def fit(self, x: Sparse, y: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 5e-5) -> View:
         n, width = len(y), len(self.w)
         seen = _sums(x.columns, width)
         good = _sums(x.columns, width, lambda part: y[x.rows[part]])
