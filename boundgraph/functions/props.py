@@ -15,17 +15,26 @@ IDENTITY_KEYS = ("id", "src", "dist", "hid", "elementId")
 NUMBER = r"\A-?\d+(\.\d+)?([eE][+-]?\d+)?\z"
 
 
+def raw(key: str, props: str = "props") -> Column:
+    """A property's text, null if it is missing.
+
+    Where a map is made from columns, Catalyst puts the column in its place, so that
+    only that column is read and tests of it reach the scan.
+    """
+    return F.col(props)[key]
+
+
 def value(key: str, props: str = "props") -> Column:
     """A property's text; a missing one is the empty text."""
-    return F.coalesce(F.try_element_at(props, F.lit(key)), F.lit(""))
+    return F.coalesce(raw(key, props), F.lit(""))
 
 
 def equals(key: str, text: str) -> Column:
-    return value(key) == text
+    return raw(key).eqNullSafe(text) if text else value(key) == ""
 
 
 def differs(key: str, text: str) -> Column:
-    return value(key) != text
+    return ~equals(key, text)
 
 
 def contains(key: str, text: str) -> Column:
@@ -53,10 +62,10 @@ def matches(key: str, pattern: str) -> Column:
 
 def lists(key: str, text: str) -> Column:
     """Whether a property that holds a JSON array, or text between commas, has the element ``text``."""
-    raw = value(key)
-    comma = F.filter(F.transform(F.split(raw, ","), F.trim), lambda s: s != "")
-    parsed = F.coalesce(F.from_json(raw, "array<string>"), comma)
-    return F.array_contains(F.when(F.startswith(F.trim(raw), F.lit("[")), parsed).otherwise(comma), text)
+    own = value(key)
+    comma = F.filter(F.transform(F.split(own, ","), F.trim), lambda s: s != "")
+    parsed = F.coalesce(F.from_json(own, "array<string>"), comma)
+    return F.array_contains(F.when(F.startswith(F.trim(own), F.lit("[")), parsed).otherwise(comma), text)
 
 
 _COMPARISONS = {"<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
@@ -72,13 +81,13 @@ def compares(key: str, op: str, other: float | str) -> Column:
         raise GraphError("unsupported_predicate", "ids have no order")
     if op not in _COMPARISONS:
         raise GraphError("unsupported_predicate", op)
-    raw, test = F.nullif(value(key), F.lit("")), _COMPARISONS[op]
+    own, test = F.nullif(value(key), F.lit("")), _COMPARISONS[op]
     if isinstance(other, str):
-        return getattr(raw, test)(F.lit(other))
-    number = F.when(F.rlike(raw, F.lit(NUMBER)), raw.try_cast("double"))
+        return getattr(own, test)(F.lit(other))
+    number = F.when(F.rlike(own, F.lit(NUMBER)), own.try_cast("double"))
     rough = getattr(F.when(F.abs(number) < float("inf"), number), test)(F.lit(float(other)))
     if isinstance(other, int) and abs(other) < 10**37:  # whole numbers beyond 2 ** 53 compare exactly
-        whole = F.when(F.rlike(raw, F.lit(r"\A-?\d{1,37}\z")), raw.try_cast("decimal(38,0)"))
+        whole = F.when(F.rlike(own, F.lit(r"\A-?\d{1,37}\z")), own.try_cast("decimal(38,0)"))
         return F.coalesce(getattr(whole, test)(F.lit(str(other)).cast("decimal(38,0)")), rough)
     return rough
 

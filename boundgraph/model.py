@@ -74,4 +74,4 @@ def from_rows(spark: SparkSession, nodes: list, edges: list, limits: Limits | No
 
 def nickname(props: str = "props") -> Column:
     """The property ``id``; null where it is missing or empty."""
-    return F.nullif(F.coalesce(F.try_element_at(props, F.lit("id")), F.lit("")), F.lit(""))
+    return F.nullif(F.col(props)["id"], F.lit(""))

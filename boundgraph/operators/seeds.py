@@ -123,9 +123,13 @@ def adjacency(edges: DataFrame, relation: str | None = None, direction: str = "b
         raise GraphError("bad_direction", direction)
     if relation is not None:
         edges = edges.where(P.fold_relation(F.col("relation")) == P.fold_relation(F.lit(relation)))
-    side = lambda a, b, forward: edges.select(F.col(a).alias("at"), F.col(b).alias("far"), F.col("hid").alias("edge"), "relation", F.lit(forward).alias("forward"))
-    out, back = side("src", "dist", True), side("dist", "src", False)
-    return out if direction == "out" else back if direction == "in" else out.union(back.where("at <> far"))
+    step = lambda a, b, forward: F.struct(F.col(a).alias("at"), F.col(b).alias("far"), F.lit(forward).alias("forward"))
+    out, back = step("src", "dist", True), step("dist", "src", False)
+    if direction == "both":  # two steps an edge in one scan
+        rows = edges.select(F.explode(F.when(F.col("src") == F.col("dist"), F.array(out)).otherwise(F.array(out, back))).alias("s"), "hid", "relation")
+    else:
+        rows = edges.select((out if direction == "out" else back).alias("s"), "hid", "relation")
+    return rows.select("s.at", "s.far", F.col("hid").alias("edge"), "relation", "s.forward")
 
 
 def endpoints(graph: Graph, edges: DataFrame) -> DataFrame:

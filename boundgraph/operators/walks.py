@@ -40,7 +40,6 @@ def spread(seeds: DataFrame, steps: DataFrame | Callable[[DataFrame], DataFrame]
         ways = steps(level.select(F.col("node").alias("at")).distinct()) if callable(steps) else steps
         ways = ways.select("at", "far", "edge", "forward")
         if crossed is not None:
-            ways = materialise(ways, "ways")
             crossed.append(level.select("seed", F.col("node").alias("at")).join(ways, "at").select("seed", "edge"))
         met = level.select("seed", F.col("node").alias("at"), "path").join(ways, "at")
         step = F.struct("edge", F.col("far").alias("node"), "forward").cast(STEP)
@@ -81,16 +80,16 @@ def clamped(graph: Graph, fanout: int | None = None) -> Callable[[DataFrame], Da
     most = graph.limits.fanout if fanout is None else fanout
 
     def steps(front: DataFrame) -> DataFrame:
-        out = graph.edges.join(front, F.col("src") == F.col("at"), "left_semi")
-        wide = materialise(out.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("src"), "wide")
-        away = adjacency(out, direction="out")
-        if not wide.isEmpty():
-            far = graph.nodes.select(F.col("hid").alias("dist"), F.col("tag").alias("far_tag"), P.payload().alias("far_pairs"))
-            order = [P.fold_relation(F.col("relation")), F.coalesce("far_tag", F.lit("")), F.coalesce("far_pairs", F.array().cast("array<struct<key:string,value:string>>")), P.payload(), F.col("hid")]
-            ranked = out.join(wide, "src", "left_semi").join(far, "dist", "left").withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(*order))).where(F.col("k") <= most)
-            narrow = out.join(wide, "src", "left_anti")
-            away = adjacency(narrow.union(ranked.select(*narrow.columns)), direction="out")
-        return away.union(adjacency(graph.edges, direction="in").where("at <> far").join(front, "at", "left_semi").select(*away.columns))
+        near = materialise(adjacency(graph.edges).join(front, "at", "left_semi").select("at", "far", "edge", "relation", "forward"), "near")
+        wide = materialise(near.where("forward").groupBy("at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("at"), "wide")
+        if wide.isEmpty():
+            return near
+        far = graph.nodes.select(F.col("hid").alias("far"), F.col("tag").alias("far_tag"), P.payload().alias("far_pairs"))
+        out = near.where("forward").join(wide, "at", "left_semi").join(graph.edges.select(F.col("hid").alias("edge"), P.payload().alias("pairs")), "edge").join(far, "far", "left")
+        order = [P.fold_relation(F.col("relation")), F.coalesce("far_tag", F.lit("")), F.coalesce("far_pairs", F.array().cast("array<struct<key:string,value:string>>")), F.col("pairs"), F.col("edge")]
+        ranked = out.withColumn("k", F.row_number().over(Window.partitionBy("at").orderBy(*order))).where(F.col("k") <= most)
+        kept = near.where("not forward").union(near.where("forward").join(wide, "at", "left_anti").select(*near.columns))
+        return materialise(kept.union(ranked.select(*near.columns)), "ways")
 
     return steps
 
