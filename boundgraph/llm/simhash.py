@@ -11,7 +11,8 @@ So that not all pairs have to meet, the pivots come in *tables*: the pivots of o
 table differ from the zero fingerprint in that table's bits only.  Rows meet where
 all relative distances of one table agree.  When the tables split the bits into
 ``max_bits + 1`` disjoint parts, a pair within ``max_bits`` leaves at least one part
-untouched and therefore agrees in that table: nothing is lost.
+untouched and therefore agrees in that table: nothing is lost.  Drawn tables lose pairs
+at a rate that follows from their number and width.
 """
 
 from __future__ import annotations
@@ -211,7 +212,7 @@ def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], words: int =
     names = [f"f{w}" for w in range(words)]
     own = [table_pivots(t, words) for t in tables]
     zero = np.zeros((1, words), dtype=np.uint64)
-    general = general_pivots(words)
+    general = general_pivots(words, 8 if max_bits < 8 * words else 1)  # beyond, they discard next to nothing
 
     def words_of(batch: pa.RecordBatch) -> np.ndarray:
         return np.stack([batch.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)

@@ -97,3 +97,27 @@ def test_no_documents(spark, tables):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, folder)
         assert out.count() == 0
+
+
+def copies_at(rng, n, changed, first=0):
+    """``n`` texts of 270 shingles and a copy of each in which ``changed`` words, more than five apart, are others."""
+    rows = []
+    for i in range(n):
+        t = [f"w{rng.randrange(5000)}" for _ in range(274)]
+        rows.append((first + 2 * i, " ".join(t)))
+        for k in range(changed):
+            t[10 + 40 * k] = f"new{i}x{k}"
+        rows.append((first + 2 * i + 1, " ".join(t)))
+    return rows
+
+
+def test_near_duplicates_at_the_least_similarity(spark):
+    rng = random.Random(3)
+    rows = copies_at(rng, 300, 6) + copies_at(rng, 100, 5, 1000) + copies_at(rng, 40, 7, 2000)
+    text = dict(rows)
+    assert jaccard(text[0], text[1]) == 0.8 and 0.8 < jaccard(text[1000], text[1001]) < 0.85 and jaccard(text[2000], text[2001]) < 0.8
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    gone = set(text) - left
+    print("recall", sum(i < 1000 for i in gone) / 300, sum(1000 <= i < 2000 for i in gone) / 100)
+    assert sum(i < 1000 for i in gone) >= 0.97 * 300 and sum(1000 <= i < 2000 for i in gone) >= 99
+    assert all(i % 2 for i in gone) and not any(i >= 2000 for i in gone)
