@@ -30,6 +30,8 @@ from .shared import connected_components, materialise
 SEED = 42
 #: Fingerprints that one block of a bucket holds; a larger bucket is split into blocks that meet in pairs.
 BLOCK = 2048
+#: Shingles of a family of texts that one task holds against each other; a larger family is split like a bucket.
+GRAMS = 1 << 19
 #: Pairs that are looked at in one vectorised step.
 STEP = 2_000_000
 
@@ -258,38 +260,95 @@ def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], words: int =
     return alone.union(met).mapInArrow(forest, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, grams)``: sorted hashes of the different shingles of every text, as :func:`fingerprint` forms them."""
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``(id, family, grams)`` of ``texts(id, family, text)``: sorted hashes of the different shingles, as :func:`fingerprint` forms them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "grams"])
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["id", "family", "grams"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, grams array<long>")
+    return texts.select("id", "family", "text").mapInArrow(run, "id long, family long, grams array<long>")
 
 
-def alike(found: DataFrame, docs: DataFrame, similarity: float, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The links ``found(a, b)`` whose texts' sets of shingles have a Jaccard similarity of ``similarity`` at least.
+def similar_links(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that connect all sets that pairs of a Jaccard similarity of ``similarity`` at least connect.
 
-    Of rows that share an id any may count.
+    ``flat`` has the sets one after the other.  A set that is reached is held against all that
+    are not, so no pair that could still join two groups is left out.
     """
-    needed = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
-    sets = materialise(shingle_sets(texts, shingle, "id", "text"), "shingles")
-    joined = found.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return joined.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    values, code = np.unique(flat, return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = np.zeros(len(values), dtype=bool)
+    rest = np.flatnonzero(sizes)
+    codes, reached = code, []  # those of rest
+    while len(rest):
+        if not reached:
+            reached, codes, rest = [rest[0]], codes[sizes[rest[0]] :], rest[1:]
+            continue
+        at = reached.pop()
+        mine = code[ends[at] - sizes[at] : ends[at]]
+        own[mine] = True
+        n = sizes[rest]
+        both = np.add.reduceat(own[codes], np.cumsum(n) - n, dtype=np.int64)
+        own[mine] = False
+        near = both >= similarity * (n + sizes[at] - both)
+        if near.any():
+            found = rest[near]
+            a.append(found)
+            b.append(np.full(len(found), at))
+            reached += found.tolist()
+            codes, rest = codes[np.repeat(~near, n)], rest[~near]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def alike(found: DataFrame, docs: DataFrame, similarity: float, shingle: int, id_col: str = "doc_id", text_col: str = "text", grams: int = GRAMS, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``: links of a Jaccard similarity of ``similarity`` at least, by the texts' sets of shingles.
+
+    The links ``found(a, b)`` only say which texts may be alike: those that they connect are a
+    family, and within it all pairs count that could join two groups, so a link that fails
+    hides no other.  A family of more than ``grams`` shingles or ``block`` texts is dealt by hash
+    into parts that meet in pairs.  Of rows that share an id any may count.
+    """
+    families = connected_components(found).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(families, "id").distinct()
+    member = materialise(shingle_sets(texts, shingle), "shingles")
+    parts = F.greatest(F.ceil(F.sum(F.size("grams")) / grams), F.ceil(F.count(F.lit(1)) / block))
+    large = member.groupBy("family").agg(parts.alias("parts")).where("parts > 1")  # a row for so many shingles or texts
+    blocks = (
+        member.join(F.broadcast(large), "family", "left")
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        .groupBy("family", "parts", "part")
+        .agg(F.collect_list(F.struct("id", "grams")).alias("r"))
+        .select("family", "parts", "part", "r.id", "r.grams")
+    )
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                ids = one.column("id").flatten().to_numpy(zero_copy_only=False)
+                lists = one.column("grams").flatten()
+                i, j = similar_links(lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+    alone = blocks.where("parts = 1").select("id", "grams")
+    split = materialise(blocks.where("parts > 1"), "parts")
+    left, right = split.alias("l"), split.alias("r")
+    met = left.join(right, (F.col("l.family") == F.col("r.family")) & (F.col("l.part") < F.col("r.part"))).select(*(F.concat(f"l.{n}", f"r.{n}").alias(n) for n in ("id", "grams")))
+    return alone.union(split.select("id", "grams")).union(met).mapInArrow(verify, "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, max_bits: int = 3, tables: list[list[int]] | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, f0.., component)`` for every row: its fingerprint and the least id reachable by links.
 
     Two fingerprints are linked if they differ in ``max_bits`` bits at most.  Without
-    ``tables`` that is exact.  With ``similarity`` the closest links of every block are held against
-    the texts, and only those stay whose sets of shingles are as similar (Jaccard).
+    ``tables`` that is exact.  With ``similarity`` such links only name families of texts, and the links
+    are those of texts of a family whose sets of shingles are as similar (Jaccard).
 
     * Null, empty and wordless texts have the fingerprint zero and link like any other.
     * Rows with a null id take part in no link; their component is null.

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import Row
 
@@ -93,3 +94,64 @@ def test_wide_fingerprints_find_looser_copies(spark):
         rows.append((2 * i + 1, " ".join(t)))
     got = {r["id"]: r["component"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, words=2, max_bits=24, tables=simhash.drawn_tables(2, 32, 16)).collect()}
     assert got == {i: i - i % 2 for i in range(40)}
+
+
+def brute_families(rows, shingle=5, similarity=0.8):
+    """Components of rows by the Jaccard similarity of their sets of shingles."""
+    sets = {i: {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def edited_families(rng, n=8, size=60):
+    """Families of texts of 300 words, each with 2 to 5 words of one text changed."""
+    rows = []
+    for k in range(n):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for i in range(size):
+            t = list(base)
+            for at in rng.sample(range(300), rng.randint(2, 5)):
+                t[at] = f"new{rng.randrange(10**9)}"
+            rows.append((size * k + i, " ".join(t)))
+    return rows
+
+
+def test_a_refused_link_hides_no_other(spark):
+    rows = edited_families(random.Random(4))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in simhash.near_duplicates(docs, shingle=5, words=4, max_bits=64, tables=simhash.drawn_tables(4, 96, 16), similarity=0.8).collect()}
+    want = brute_families(rows)
+    print("components", len(set(got.values())), "of", len(set(want.values())))
+    assert got == want
+
+
+def test_large_families_are_split(spark):
+    rows = edited_families(random.Random(6), 2, 40)
+    docs = spark.createDataFrame([*rows, *rows[:3]], "doc_id long, text string")
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 80)], "a long, b long")
+    want = brute_families(rows)
+    for grams, block in ((1 << 19, 2048), (2000, 2048), (1 << 19, 9)):
+        links = simhash.alike(chain, docs, 0.8, 5, grams=grams, block=block)
+        found = {r["node"]: r["component"] for r in simhash.connected_components(links).collect()}
+        assert {i: found.get(i, i) for i in want} == want
+
+
+def test_links_of_sets_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        sets = [np.unique(rng.integers(0, 12, rng.integers(0, 12))) for _ in range(rng.integers(1, 12))]
+        a, b = simhash.similar_links(np.concatenate(sets), np.array([len(s) for s in sets]), 0.6)
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i]) and len(sets[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j]))]
+        roots = lambda p: simhash.local_roots(len(sets), iter([tuple(np.array(p, dtype=np.int64).reshape(-1, 2).T)])).tolist()
+        assert roots(list(zip(a, b, strict=True))) == roots(pairs)
