@@ -66,7 +66,11 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> list[int]
     of ``shingle`` words counts once per occurrence; a shorter text is one shingle.
     Null and wordless texts give zero.
     """
-    h = shingle_hashes(text, shingle)
+    return _bits(shingle_hashes(text, shingle), words)
+
+
+def _bits(h: np.ndarray, words: int) -> list[int]:
+    """The majority of every bit over hashes of shingles."""
     if not len(h):
         return [0] * words
     out = []
@@ -80,17 +84,30 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> list[int]
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, f0, f1, ...)``: the fingerprint words of every row as signed longs."""
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """``(id, f0, f1, ...)``: the fingerprint words of every row as signed longs.
+
+    With ``distinct`` a shingle counts once however often it is repeated, and two more columns
+    ``s0, s1`` have a hash of the set of shingles.
+    """
+    names = [*(f"f{w}" for w in range(words)), *(("s0", "s1") if distinct else ())]
+
+    def row(text: str | None) -> list[int]:
+        h = shingle_hashes(text, shingle)
+        if not distinct:
+            return _bits(h, words)
+        h = np.unique(h)
+        whole = xxhash.xxh3_128_intdigest(h.tobytes(), SEED)
+        return [*_bits(h, words), whole >> 64, whole % 2**64]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = np.array([fingerprint(t, shingle, words) for t in part.column(1).to_pylist()], dtype=np.uint64).reshape(-1, words)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(found[:, w]).view(np.int64)) for w in range(words))], names=["id", *(f"f{w}" for w in range(words))])
+                found = np.array([row(t) for t in part.column(1).to_pylist()], dtype=np.uint64).reshape(-1, len(names))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(found[:, n]).view(np.int64)) for n in range(len(names)))], names=["id", *names])
 
-    schema = "id long, " + ", ".join(f"f{w} long" for w in range(words))
+    schema = "id long, " + ", ".join(f"{n} long" for n in names)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -207,7 +224,7 @@ def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], words: int =
 
     They are the closest ones: a minimum spanning forest of every block.
 
-    ``nodes(node, f0, ...)`` has each fingerprint once.  A bucket holds the rows that
+    ``nodes(node, f0, ...)`` may have a fingerprint under several nodes.  A bucket holds the rows that
     agree in one pivot table; one with more than ``block`` rows is dealt by hash into
     blocks, and its blocks meet in pairs, so that no task gets a whole hot bucket.
     """
@@ -247,7 +264,7 @@ def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], words: int =
     blocks = (
         keyed.join(sizes, ["t", "key"])
         .withColumn("parts", F.ceil(F.col("count") / block))
-        .withColumn("part", F.pmod(F.xxhash64(*names), F.col("parts")))
+        .withColumn("part", F.pmod(F.xxhash64(*names, "node"), F.col("parts")))
         .groupBy("t", "key", "parts", "part")
         .agg(F.collect_list(F.struct("node", *names)).alias("r"))
         .select("t", "key", "parts", "part", *(F.col(f"r.{n}").alias(n) for n in ["node", *names]))
@@ -348,7 +365,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, max_bits:
 
     Two fingerprints are linked if they differ in ``max_bits`` bits at most.  Without
     ``tables`` that is exact.  With ``similarity`` such links only name families of texts, and the links
-    are those of texts of a family whose sets of shingles are as similar (Jaccard).
+    are those of texts of a family whose sets of shingles are as similar (Jaccard); fingerprints are
+    then of the sets, and only texts of one set are copies unseen.
 
     * Null, empty and wordless texts have the fingerprint zero and link like any other.
     * Rows with a null id take part in no link; their component is null.
@@ -356,14 +374,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, max_bits:
     * An empty table gives an empty table; further columns are ignored.
     """
     names = [f"f{w}" for w in range(words)]
-    prints = materialise(fingerprints(docs, shingle, words, id_col, text_col), "prints")
-    nodes = materialise(prints.where("id is not null").groupBy(*names).agg(F.min("id").alias("node")), "nodes")
+    keys = names if similarity is None else [*names, "s0", "s1"]
+    prints = materialise(fingerprints(docs, shingle, words, id_col, text_col, similarity is not None), "prints")
+    nodes = materialise(prints.where("id is not null").groupBy(*keys).agg(F.min("id").alias("node")), "nodes")
     # One document may stand under two texts if its id is repeated: those fingerprints are one node.
-    same = prints.where("id is not null").groupBy("id").agg(*(F.min(n).alias(f"lo{i}") for i, n in enumerate(names)), *(F.max(n).alias(f"hi{i}") for i, n in enumerate(names))).where(" or ".join(f"lo{i} <> hi{i}" for i in range(words)))
-    twice = prints.join(same.select("id"), "id", "left_semi").join(nodes.select("node", *names), names).select(F.col("id").alias("a"), F.col("node").alias("b"))
+    same = prints.where("id is not null").groupBy("id").agg(*(F.min(n).alias(f"lo{i}") for i, n in enumerate(keys)), *(F.max(n).alias(f"hi{i}") for i, n in enumerate(keys))).where(" or ".join(f"lo{i} <> hi{i}" for i in range(len(keys))))
+    twice = prints.join(same.select("id"), "id", "left_semi").join(nodes.select("node", *keys), keys).select(F.col("id").alias("a"), F.col("node").alias("b"))
     linked = links(nodes, max_bits, tables or even_tables(words, max_bits + 1), words)
     if similarity is not None:
         linked = alike(materialise(linked, "links"), docs, similarity, shingle, id_col, text_col)
     found = connected_components(linked.union(twice))
-    component = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component"))
-    return prints.join(component, names, "left").select("id", *names, F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    component = nodes.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component"))
+    return prints.join(component, keys, "left").select("id", *names, F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))

@@ -155,3 +155,32 @@ def test_links_of_sets_connect_what_all_pairs_connect():
         pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i]) and len(sets[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j]))]
         roots = lambda p: simhash.local_roots(len(sets), iter([tuple(np.array(p, dtype=np.int64).reshape(-1, 2).T)])).tolist()
         assert roots(list(zip(a, b, strict=True))) == roots(pairs)
+
+
+def test_repeated_lines_neither_make_nor_hide_copies(spark):
+    rng = random.Random(9)
+    drawn = lambda k: " ".join(f"w{rng.randrange(5000)}" for _ in range(k))
+    line = drawn(9)
+    rows = [(i, f"{f'{line} ' * 100}{drawn(50)}") for i in range(4)]  # much alike if shingles count as often as they occur
+    for i in range(10, 30, 2):
+        text = drawn(200).split()
+        again = text[90:99]
+        rows += [(i, " ".join(text)), (i + 1, " ".join(text[:99] + again * 10 + text[99:]))]
+    rows += [(40, "a b c d e f a b c d e"), (41, "A b c d e f a b c d E"), (42, "a b c d e f a b c d e f a b c d e"), (43, None), (44, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.near_duplicates(docs, shingle=5, words=4, max_bits=64, tables=simhash.drawn_tables(4, 96, 16), similarity=0.8)
+    assert found.columns == ["id", "f0", "f1", "f2", "f3", "component"]
+    got = {r["id"]: r["component"] for r in found.collect()}
+    want = brute_families([(i, (t or "").lower()) for i, t in rows])
+    assert got == want and got[3] == 3 and got[11] == 10 and got[44] == 43
+
+
+def test_different_texts_of_one_fingerprint_are_told_apart(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m n")], "doc_id long, text string")
+    prints = spark.createDataFrame([(1, -1, 5, 5), (2, -1, 5, 5), (3, -1, 6, 6)], "id long, f0 long, s0 long, s1 long")
+    kept, simhash.fingerprints = simhash.fingerprints, lambda *_: prints
+    try:
+        got = {r["id"]: r["component"] for r in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()}
+    finally:
+        simhash.fingerprints = kept
+    assert got == {1: 1, 2: 1, 3: 3}
