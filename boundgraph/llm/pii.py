@@ -4,9 +4,11 @@ Base spans follow four fixed patterns, leftmost and without overlap per kind.  T
 tagger is trained in numpy on the driver from labelled spans: those that the patterns
 find in a bounded sample of the documents, the same contexts with the span written
 in another way (no ``+``, dots between digits, ``(at)`` ...), and look-alikes that are
-nobody's data.  It reads windows of ``WINDOW`` characters around digits and at-signs,
-without which none of the kinds can be written; neighbouring windows overlap by half
-and every character takes its tag from the window that it stands in most centrally.
+nobody's data.  It reads windows of ``WINDOW`` characters around digits, at-signs and what
+may be an address with a spelled at-sign; a span without any of these would be refused as none
+of the kinds.  Neighbouring windows overlap by half and every character takes its tag from
+the window that it stands in most centrally.  Of a possible address with a spelled at-sign
+all is taken if half of it is marked.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile("[0-9@]")
 _DIGITS = re.compile("[0-9]")
+#: At-signs beyond ASCII, which are read as @; the rest of an address from a spelled at-sign on, and its first part's characters.
+_ATS = {0xFF20: "@", 0xFE6B: "@"}
+_SPELLED = re.compile(r"(?=( ?(?:[\uFF20\uFE6B]|[(\[{] ?at ?[)\]}]| at ) ?[\w-]++(?: ?(?:\.|[(\[{] ?dot ?[)\]}]| dot ) ?[\w-]++)+))")
+_USER = re.compile(r"[\w.%+-]")
 
 
 def _luhn(digits: str) -> bool:
@@ -84,9 +90,24 @@ def windows(text: str) -> np.ndarray:
     return found * half
 
 
+def spelled(text: str) -> list[tuple[int, int]]:
+    """Where an address with a spelled at-sign may stand, from its first part on; that has ``WINDOW`` characters at most."""
+    out = []
+    for m in _SPELLED.finditer(text):
+        start, least = m.start(), max(0, m.start() - WINDOW)
+        while start > least and _USER.match(text, start - 1):
+            start -= 1
+        if start < m.start():
+            out.append((start, m.end(1)))
+    return out
+
+
 def _is_trigger(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return (codes - 48 < 10) | (codes == 64)
+    found = (codes - 48 < 10) | (codes == 64)
+    for start, end in spelled(text):
+        found[start:end] = True
+    return found
 
 
 def _cut(ids: np.ndarray, start: int) -> np.ndarray:
@@ -100,7 +121,7 @@ def _valid(kind: str, text: str) -> bool:
     """Whether what the tagger marked can be read as this kind at all."""
     digits = "".join(_DIGITS.findall(text))
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+ ?(?:@|[(\[{] ?at ?[)\]}]| at ) ?[\w-]+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]| dot ) ?[\w-]+)+", text))
+        return bool(re.fullmatch(r"[\w.%+-]+ ?(?:[@\uFF20\uFE6B]|[(\[{] ?at ?[)\]}]| at ) ?[\w-]+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]| dot ) ?[\w-]+)+", text))
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(map(_small, parts)) and not re.search("[A-Za-z]", text)
@@ -115,7 +136,7 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not places:
         return out
-    coded = {i: symbols(texts[i]) for i in {i for i, _ in places}}
+    coded = {i: symbols(texts[i].translate(_ATS)) for i in {i for i, _ in places}}
     tags = np.concatenate([tagger.decode(np.stack([_cut(coded[i], s) for i, s in places[at : at + 512]])) for at in range(0, len(places), 512)])
     quarter, whole = WINDOW // 4, {}
     for (i, start), own in zip(places, tags, strict=True):
@@ -129,7 +150,8 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger
                 if 0 <= start + k < len(text):
                     marks[start + int(k)] = int(own[k])
         taken = [(s, e) for _, s, e in base[i]]
-        for kind, s, e in _runs(marks):
+        whole_ones = [("email", s, e) for s, e in spelled(text) if 2 * sum(marks.get(k) in (1, 2) for k in range(s, e)) >= e - s]
+        for kind, s, e in [*whole_ones, *_runs(marks)]:
             while s < e and text[s] in " .,;:-\n\t":
                 s += 1
             while e > s and text[e - 1] in " .,;:-\n\t":

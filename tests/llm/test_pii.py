@@ -98,3 +98,27 @@ def test_redaction(spark):
     assert [tuple(r) for r in pii.redact(docs, tagger).orderBy("doc_id").collect()] == [(1, "to [EMAIL] or [IP]!", "s"), (2, None, "s"), (3, "none", None)]
     assert pii.redact(docs.limit(0), tagger).count() == 0
     assert pii.masked("abcdef", [("ip", 1, 3), ("card", 2, 5)]) == "a[IP]f"
+
+
+def test_spelled_addresses_without_digits():
+    tagger = Tagger(2 * len(pii.KINDS) + 1)
+    tagger.fit(*pii.training_set([]), steps=240)
+    filler = "lorem ipsum dolor sit amet " * 9
+    spelled = ["jane.doe [at] mail.example.org", "jane.doe(at)mail.example.org", "kim_lee at site dot example dot com", "jane.doe\uff20mail.example.org"]
+    _, added = pii.spans_of([f"{filler}write to {x} for more {filler}" for x in spelled], tagger)
+    hits = [x for x, own in zip(spelled, added, strict=True) if [(k, f"{filler}write to {x} for more {filler}"[s:e]) for k, s, e in own] == [("email", x)]]
+    print("found", hits)
+    assert hits == spelled
+    plain = ["we met at noon. Then we left the house", "she works at home. The dog is old", f"look at this. It is fine {filler}", "he stayed at school.\nThen he went"]
+    assert pii.spans_of(plain, tagger)[1] == [[], [], [], []]
+
+
+def test_windows_cover_all_that_may_be_an_address():
+    rng = random.Random(12)
+    bits = ["a", "jane.doe", "x-y", " at ", "[at]", "( at )", "{at", " dot ", "[dot]", ".", " ", "at", "é", ", ", "w" * 40]
+    for _ in range(20000):
+        text = "".join(rng.choices(bits, k=rng.randint(3, 9)))
+        found = set(pii.windows(text).tolist())
+        for m in re.finditer(r"(?<![\w.%+-])[\w.%+-]{1,40} ?(?:[(\[{] ?at ?[)\]}]| at ) ?[\w-]+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]| dot ) ?[\w-]+)+", text):
+            assert pii._valid("email", m[0])
+            assert all(k // 32 * 32 in found and k // 32 * 32 - 32 in found for k in range(*m.span())), repr(text)
