@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, materialise, reading, store
+from .shared import dealt, fresh_path, materialise, reading, store
 from .tokens import default_path, encoder
 
 #: End-of-document id of the vocabulary; no text has it, as its string in a text is ordinary text.
@@ -43,7 +43,7 @@ def write(docs: DataFrame, folder: str | None = None, eod: int = EOD, width: int
         end = np.array([eod], dtype=kind).tobytes()
 
         def chunks(first: pa.RecordBatch) -> Iterator[bytes]:
-            own = encoder(path)
+            own = encoder(path, spelled=True)
             for batch in chain([first], batches):
                 ids.append(batch.column(0))
                 for text in batch.column(1):
@@ -91,7 +91,9 @@ def scan(files: DataFrame, eod: int = EOD, width: int = 2, block_bytes: int = BL
                 first, last = (int(at[0]), int(at[-1])) if len(at) else (None, None)
                 yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([block]), pa.array([len(ids)]), pa.array([len(at)]), pa.array([first], pa.int64()), pa.array([last], pa.int64()), inner], names=["file", "block", "ids", "ends", "first", "last", "inner"])
 
-    blocks = files.select("file").distinct().mapInArrow(cut, "file string, block long, start long, size long").repartition("file", "block")
+    blocks = materialise(files.select("file").distinct().mapInArrow(cut, "file string, block long, start long, size long"), "cuts")
+    n, total = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    blocks = dealt(blocks, n, total, "file", "block")
     found = materialise(blocks.mapInArrow(search, "file string, block long, ids long, ends long, first long, last long, inner array<long>"), "blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = found.select("file", "block", "ids", "ends", "first", "last", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("at"), F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("nth"))

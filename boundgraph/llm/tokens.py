@@ -11,8 +11,8 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Texts with characters beyond these go through the tokenizers library, so that libraries' classes of rare characters can't differ.
-_RARE = re.compile("[^\x00-\x1b\x20-ɏ‐-‧]")
-_ENCODERS: dict[str, "Encoder"] = {}
+_RARE = "[^\x00-\x1b\x20-ɏ‐-‧]"
+_ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Encoder:
@@ -20,12 +20,15 @@ class Encoder:
 
     A ``.tiktoken`` file of the same name holds the same vocabulary as ranks; where it
     is there, common texts are encoded from it, which gives the same ids four times
-    as fast.  Strings of special tokens are ordinary text.
+    as fast.  The string of a special token in a text is that token, as the library has it;
+    with ``spelled`` it is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spelled: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spelled
+        added = [] if spelled else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.slow = re.compile("|".join([_RARE, *added]))
         ranks = Path(path).with_suffix(".tiktoken")
         self.fast = None
         if ranks.exists():
@@ -39,16 +42,16 @@ class Encoder:
         """The ids as little-endian unsigned 32-bit integers; null: none."""
         if not text:
             return np.zeros(0, dtype="<u4")
-        if self.fast is None or _RARE.search(text):
+        if self.fast is None or self.slow.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.asarray(self.fast.encode_to_numpy(text), dtype="<u4")
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, spelled: bool = False) -> Encoder:
     """The encoder of this process for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, spelled) not in _ENCODERS:
+        _ENCODERS[path, spelled] = Encoder(path, spelled)
+    return _ENCODERS[path, spelled]
 
 
 def default_path() -> str:
