@@ -66,10 +66,10 @@ def op7_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record per page, written to bundles and read back from their frames."""
+    """A record per page, written to bundles and read back by the index from their frames."""
     index, _ = warc.archive_pages(_table(spark, sf_dir, "pages"), least=1000)
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
-    return warc.read(index).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return warc.fetch(index, payloads=False).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 def op9_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:

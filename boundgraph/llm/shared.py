@@ -24,6 +24,19 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Bytes of files that one task reads.
+TASK_BYTES = 64 * 1024 * 1024
+
+
+def dealt(rows: DataFrame, n: int, total_bytes: int, *keys: str) -> DataFrame:
+    """``n`` groups of rows that stand for ``total_bytes`` of files, dealt to a stated number of tasks.
+
+    The rows themselves are small, so their own size says nothing about a task's work.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(n, 4 * cores), -(-total_bytes // TASK_BYTES)), *keys)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component: the least reachable node.
 

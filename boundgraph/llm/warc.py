@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, materialise, reading, store
+from .shared import dealt, fresh_path, materialise, reading, store
 
 FRAME_BYTES = 256 * 1024
 #: Fixed values of the seekable format: skippable frame, footer, and the flag for checksums.
@@ -170,24 +170,39 @@ def read(files: DataFrame, payloads: bool = False) -> DataFrame:
                     at = found[-1][3]
                 yield _as_rows(found, payloads)
 
-    dealt = files.select("file").distinct().mapInArrow(frames, "file string, at long, packed long, size long, check long").repartition("file", "at")
-    return dealt.mapInArrow(records, RECORD + ", payload binary" * payloads)
+    entries = materialise(files.select("file").distinct().mapInArrow(frames, "file string, at long, packed long, size long, check long"), "frames")
+    n, total = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return dealt(entries, n, total, "file", "at").mapInArrow(records, RECORD + ", payload binary" * payloads)
 
 
-def fetch(index: DataFrame) -> DataFrame:
-    """The records that rows of an index name, each from its own frame alone, with their payloads."""
+def fetch(index: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records that rows of a stored index name: rows of RECORD, with ``payloads`` a further column ``payload``.
+
+    Every record is cut from its own frame at the place that the index says; rows of a frame are
+    dealt to one task, which decompresses it once.  A record under another id than the index's fails.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, data, table = (None, None), b"", []
         for batch in batches:
-            last, data = None, b""
-            for uri, frame, offset, length in sorted(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
+            found = []
+            for name, uri, frame, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last != (uri, frame):
                     with reading(uri) as f:
-                        data = _frame(f, seek_table(f)[frame])
-                    last = uri, frame
-                yield _as_rows([parse(data[offset : offset + length])], True)
-
-    return index.select("file", "frame", "offset", "length").mapInArrow(run, RECORD + ", payload binary")
+                        table = table if last[0] == uri else seek_table(f)
+                        data, last = _frame(f, table[frame]), (uri, frame)
+                one = parse(data[offset : offset + length])
+                if one[0][b"WARC-Record-ID"] != f"<{name}>".encode():
+                    raise ValueError(f"the index names {name} where another record stands")
+                found.append(one)
+                if len(found) >= 256:
+                    yield _as_rows(found, payloads)
+                    found = []
+            yield _as_rows(found, payloads)
+
+    rows = index.select("record_id", "file", "frame", "offset", "length")
+    n, total = rows.agg(F.count_distinct("file", "frame"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return dealt(rows, n, total, "file", "frame").sortWithinPartitions("file", "frame", "offset").mapInArrow(run, RECORD + ", payload binary" * payloads)
 
 
 def archive_pages(pages: DataFrame, least: int = 1000, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, str]:
