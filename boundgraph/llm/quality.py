@@ -246,12 +246,13 @@ def train(docs: DataFrame, labels: DataFrame, names: dict[str, str] | None = Non
     """Co-train on ``labels(id, good)``, ``good`` 0 or 1, and on unlabelled documents.
 
     An id labelled twice is good only if all its labels say so; null ids and labels are left out.
+    The pool holds no labelled document, so held-out rows are never learned from.
     """
     rows = _columns(docs, names or {"id": "doc_id"})
     known = labels.where("id is not null and good is not null").groupBy("id").agg(F.min("good").cast("double").alias("good"))
     known = known.join(rows.select("id").where("id is not null").distinct(), "id", "left_semi")
     drawn = known.orderBy(F.xxhash64("id"), "id").limit(labelled)
-    others = rows.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(pool).select("id", F.lit(0.0).alias("good"))
+    others = rows.select("id").where("id is not null").distinct().join(known.select("id"), "id", "left_anti").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(pool).select("id", F.lit(0.0).alias("good"))
     text, meta, y = _sample(rows, drawn)
     pool_text, pool_meta, _ = _sample(rows, others)
     model = co_train(text, meta, y, pool_text, pool_meta)
