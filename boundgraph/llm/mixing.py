@@ -1,18 +1,21 @@
 """Mixing sources to target weights by soft membership, in DataFrame operations only.
 
-A naive Bayes classifier learned from a labelled table gives every document a
-posterior over domains.  Documents with the same features have the same posterior, so
-they form a *cell*, and cells are summed before anything is shuffled.  Projected
-gradient least squares then finds nonnegative rates: with a rate ``x`` for each
-document, the expected tokens of domain ``k`` are the sum of ``tokens * x * p_k``,
-and these totals are to match the targets.  In the metric in which a document weighs
-as many tokens as it has, the gradient is the same for all documents of a cell, and
-its Lipschitz constant is 1 (the posteriors sum to 1), so the step needs no search.
+A naive Bayes classifier learned from a labelled table reads a document's text, its
+language and its length, and predicts a posterior over domains.  The words'
+evidence is weighed by a factor that is chosen on held-out labelled rows, so words that tell
+nothing do not pass for certainty.  Labelled documents belong to their own domain.
+Documents of the same posterior, in steps of ``1 / GRAIN`` at most, form a *cell*, and
+cells are summed before anything is shuffled.  Projected gradient least squares then
+finds nonnegative rates: with a rate ``x`` for each document, the expected tokens of domain
+``k`` are the sum of ``tokens * x * p_k``, and these totals are to match the targets.  In the
+metric in which a document weighs as many tokens as it has, the gradient is the same for
+all documents of a cell, and its Lipschitz constant is 1 (the posteriors sum to 1), so the
+step needs no search.
 
 A step is one aggregation of as many numbers as there are domains.  The rates after a
-number of steps follow from the residuals of those steps; every ``KEPT_STEPS`` steps the
-cells are stored with their rates, so plans stay small and no lineage grows.  Nothing
-is stored per document.
+number of steps follow from a posterior and the residuals of those steps, so every row has
+its rate without a join; every ``KEPT_STEPS`` steps the cells are stored with their rates, so
+the steps' plans stay small.
 """
 
 from __future__ import annotations
@@ -25,13 +28,25 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-#: Domains that targets may have; each step gathers one number for each.
-MOST_DOMAINS = 2000
-#: Additive smoothing of the classifier, pull of the rates towards 1, steps at most, and the relative error that ends them.
-SMOOTHING, PULL, STEPS, CLOSE = 0.5, 1e-6, 200, 1e-5
+#: Domains that targets may have; each step gathers one number for each, and the classifier has BUCKETS times as many.
+MOST_DOMAINS = 256
+#: Hashed words of the classifier, and labelled documents that it is fitted on at most, drawn by hash of the id.
+BUCKETS, FITTED = 4096, 20000
+#: Additive smoothing of the classifier; factors that the evidence of a text's words may get.
+SMOOTHING, FACTORS = 0.5, (0.0, 0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2)
+#: Steps that posteriors are rounded to, at least.
+GRAIN = 64
+#: Pull of the rates towards 1, steps at most, and the relative error that ends them.
+PULL, STEPS, CLOSE = 1e-6, 100, 1e-4
 #: Steps after which the cells are stored with their rates.
 KEPT_STEPS = 16
-FEATURES = ("source", "lang", "size")
+METADATA = ("lang", "size")
+_WORD = r"[\x20\x09-\x0D]+"
+
+
+def words_of(text: Column) -> Column:
+    """Words of a text, split at spaces and \\t..\\r; null and empty: none."""
+    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), _WORD), lambda w: w != "")
 
 
 def n_tokens(text: str | Column) -> Column:
@@ -39,53 +54,113 @@ def n_tokens(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, source, lang, size, tokens)`` of every row; ``size`` is the text's length in doublings."""
-    length = F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0))
-    return docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.col("source").cast("string").alias("source"),
-        F.col("lang").cast("string").alias("lang"),
-        F.floor(F.log2(length + 1)).cast("string").alias("size"),
-        n_tokens(F.col(text_col).cast("string")).alias("tokens"),
-    )
+def features(docs: DataFrame, text_col: str) -> dict[str, Column]:
+    """``lang``, ``size`` (the text's length in doublings) and ``buckets`` (its different lower-case words, hashed)."""
+    text = F.col(text_col).cast("string")
+    length = F.coalesce(F.length(text), F.lit(0))
+    return {
+        "lang": F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string"),
+        "size": F.floor(F.log2(length + 1)).cast("string"),
+        "buckets": F.array_distinct(F.transform(words_of(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))),
+    }
 
 
-def cells_of(rows: DataFrame) -> DataFrame:
-    """Rows, tokens and a number for every combination of features."""
-    return rows.groupBy(*FEATURES).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).withColumn("cell", F.xxhash64(*(F.coalesce(F.concat(F.lit("="), f), F.lit("none")) for f in FEATURES)))
+def _numbers(values: list[float]) -> Column:
+    """A constant array of any length; it is folded to one value when the plan is made."""
+    return F.split(F.lit(",".join(f"{v:.5g}" for v in values)), ",").cast("array<double>")
 
 
-def posteriors(cells: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
-    """``cells`` with ``p``: the posterior of each domain, in the order of ``domains``.
+def _added(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
 
-    ``labelled(source, lang, size, domain, n)`` counts the labelled rows.  A feature that is null says
-    nothing; a value that no labelled row has is as likely in every domain; without labelled
-    rows the posterior is even.
-    """
-    numbered = F.create_map(*(F.lit(x) for i, d in enumerate(domains) for x in (d, i)))
-    counts = labelled.select(F.try_element_at(numbered, "domain").alias("k"), *FEATURES, "n").where("k is not null")
-    one_of = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in FEATURES))).alias("x")
-    by_value = counts.select("k", "n", one_of).where("x.v is not null").groupBy(F.col("x.f").alias("f"), F.col("x.v").alias("v"), "k").agg(F.sum("n").alias("n"))
-    likely = by_value.groupBy("f", "v").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("n"))  # a row per value, an entry per domain
-    in_domain = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    with_feature = {(r["f"], r["k"]): r["n"] for r in by_value.groupBy("f", "k").agg(F.sum("n").alias("n")).collect()}
-    values = {r["f"]: r["n"] for r in likely.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
-    numbers = lambda x: F.array(*map(F.lit, x))
-    out, log_p = cells, numbers([math.log(in_domain.get(k, 0) + SMOOTHING) for k in range(len(domains))])
-    for f in FEATURES:
-        whole = numbers([math.log(with_feature.get((f, k), 0) + SMOOTHING * (values.get(f, 0) + 1)) for k in range(len(domains))])
-        gain = F.zip_with(F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda k: F.log(F.coalesce(F.try_element_at("n", k), F.lit(0)) + SMOOTHING)), whole, lambda a, b: a - b)
-        out = out.join(likely.where(F.col("f") == f).select(F.col("v").alias(f), gain.alias(f"gain_{f}")), f, "left")
-        log_p = F.zip_with(log_p, F.coalesce(f"gain_{f}", F.array_repeat(F.lit(0.0), len(domains))), lambda a, b: a + b)
-    out = out.withColumn("log_p", log_p)
-    up = F.transform("log_p", lambda a: F.exp(a - F.array_max("log_p")))
-    total = F.aggregate("up", F.lit(0.0), lambda s, a: s + a)
-    return out.withColumn("up", up).withColumn("p", F.transform("up", lambda a: a / total)).select("cell", *FEATURES, "tokens", "n", "p")
+
+def _times(a: Column, factor: float) -> Column:
+    return F.transform(a, lambda x: x * factor)
+
+
+@dataclass
+class Classifier:
+    """Logarithms: ``prior`` of each domain, ``meta[feature][value]`` and, one after the other, ``words`` of each bucket; ``factor`` weighs the words."""
+
+    domains: list[str]
+    prior: list[float]
+    meta: dict[str, dict[str, list[float]]]
+    words: list[float]
+    factor: float
+
+    def base(self, of: dict[str, Column]) -> Column:
+        """What prior and metadata say; a value that no labelled row has says nothing."""
+        out, none = _numbers(self.prior), _numbers([0.0] * len(self.domains))
+        for f, known in self.meta.items():
+            if known:
+                values = sorted(known)
+                place = F.array_position(F.array(*map(F.lit, values)), of[f])
+                own = F.slice(_numbers([x for v in values for x in known[v]]), (place - 1) * len(self.domains) + 1, F.lit(len(self.domains)))
+                out = _added(out, F.when(place > 0, own).otherwise(none))
+        return out
+
+    def evidence(self, of: dict[str, Column]) -> Column:
+        """What the words say, over the square root of their number."""
+        k = len(self.domains)
+        table = _numbers(self.words)
+        summed = F.aggregate(of["buckets"], _numbers([0.0] * k), lambda s, b: _added(s, F.slice(table, b * k + 1, F.lit(k))))
+        return F.transform(summed, lambda x: x / F.sqrt(F.greatest(F.size(of["buckets"]), F.lit(1))))
+
+    def scores(self, of: dict[str, Column]) -> Column:
+        """Logarithms of the posterior, but for a constant."""
+        return _added(self.base(of), _times(self.evidence(of), self.factor)) if self.factor else self.base(of)
+
+
+def softmax(log_p: Column) -> Column:
+    """Of a column that exists: its name stands here several times."""
+    total = F.aggregate(log_p, F.lit(0.0), lambda s, b: s + F.exp(b))
+    return F.transform(log_p, lambda a: F.exp(a) / total)
+
+
+def _highest_zero(log_p: Column) -> Column:
+    return F.transform(log_p, lambda a: a - F.array_max(log_p))
+
+
+def fit_classifier(labelled: DataFrame, domains: list[str]) -> Classifier:
+    """From stored rows ``labelled(k, fold, lang, size, buckets)``; ``k`` is the number of a domain, rows of fold 0 choose the factor."""
+    n_k = len(domains)
+    folds = {r["own"]: r["n"] for r in labelled.groupBy((F.col("fold") > 0).alias("own")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    split = bool(folds.get(True) and folds.get(False))
+    rows = labelled.where("fold > 0") if split else labelled
+    counts: dict[str, dict] = {f: {} for f in (*METADATA, "buckets")}
+    total = [0] * n_k
+    for r in rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect():
+        total[r["k"]] = r["n"]
+    said = rows.select("k", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in METADATA))).alias("x")).where("x.v is not null").select("k", "x.f", "x.v")
+    words = rows.select("k", F.lit("buckets").alias("f"), F.explode(F.transform("buckets", lambda b: b.cast("string"))).alias("v"))
+    for r in said.union(words).groupBy("f", "v", "k").agg(F.count(F.lit(1)).alias("n")).collect():  # as many as values, or buckets, times domains
+        counts[r["f"]].setdefault(r["v"], {})[r["k"]] = r["n"]
+    prior = [math.log(n + SMOOTHING) for n in total]
+    meta = {}
+    for f in METADATA:
+        known = counts[f]
+        whole = [sum(v.get(k, 0) for v in known.values()) + SMOOTHING * (len(known) + 1) for k in range(n_k)]
+        meta[f] = {v: [math.log((n.get(k, 0) + SMOOTHING) / whole[k]) for k in range(n_k)] for v, n in known.items()}
+    table: list[float] = []
+    for b in range(BUCKETS):
+        seen = counts["buckets"].get(str(b), {})
+        own = [math.log((seen.get(k, 0) + SMOOTHING) / (total[k] + 2 * SMOOTHING)) for k in range(n_k)]
+        mean = sum(own) / n_k
+        table += [x - mean if seen else 0.0 for x in own]
+    model = Classifier(domains, prior, meta, table, 0.0)
+    if split and n_k > 1:
+        of = {f: F.col(f) for f in (*METADATA, "buckets")}
+        held = labelled.where("fold = 0").select("k", model.base(of).alias("base"), model.evidence(of).alias("said"))
+        weighed = held.select("k", *(_added(F.col("base"), _times(F.col("said"), w)).alias(f"w{i}") for i, w in enumerate(FACTORS)))
+        level = weighed.select("k", *(_highest_zero(F.col(f"w{i}")).alias(f"w{i}") for i in range(len(FACTORS))))
+        likely = level.select(*(F.log(F.greatest(F.get(softmax(F.col(f"w{i}")), F.col("k")), F.lit(1e-12))).alias(f"w{i}") for i in range(len(FACTORS))))
+        found = likely.agg(*(F.avg(f"w{i}").alias(f"w{i}") for i in range(len(FACTORS)))).first()
+        model.factor = max((found[f"w{i}"], -w, w) for i, w in enumerate(FACTORS))[2]
+    return model
 
 
 def rate_after(residuals: list[list[float]], rate: str | None = None, step: float = 1 / (1 + PULL), pull: float = PULL) -> Column:
-    """The rate of a cell, from 1 or the column ``rate``, after gradient steps with these scaled residuals, each projected to what is not negative."""
+    """The rate for the posterior ``p``, from 1 or the column ``rate``, after gradient steps with these scaled residuals, each projected to what is not negative."""
     start = F.lit(1.0) if rate is None else F.col(rate)
     if not residuals:
         return start
@@ -96,16 +171,15 @@ def rate_after(residuals: list[list[float]], rate: str | None = None, step: floa
 
 @dataclass
 class Fit:
-    """``cells`` with their ``rate``; by domain, the targets and what the rates reach, as shares of all tokens."""
+    """The scaled residuals of every step, from which rates follow; by domain, the targets and what the rates reach, as shares of all tokens."""
 
-    cells: DataFrame
+    residuals: list[list[float]]
     targets: dict[str, float]
     reached: dict[str, float]
-    steps: int
 
 
 def fit_rates(cells: DataFrame, domains: list[str], weights: dict[str, float] | float, steps: int = STEPS) -> Fit:
-    """Nonnegative rates for ``cells(.., tokens, p)``, which has to be stored.
+    """Nonnegative rates for ``cells(tokens, p)``, which has to be stored.
 
     ``weights``: the share of all tokens that each domain is to have (scaled to sum to 1), or a
     power: each domain's present expected share to that power, scaled.  Domains that no cell can
@@ -119,60 +193,92 @@ def fit_rates(cells: DataFrame, domains: list[str], weights: dict[str, float] |
     now = totals(cells, F.lit(1.0))
     whole = sum(now)
     if not whole:
-        return Fit(cells.withColumn("rate", F.lit(1.0)), {}, {}, 0)
+        return Fit([], {}, {})
     share = [v / whole for v in now]
     raw = [share[k] ** weights if share[k] > 0 else 0.0 for k in range(len(domains))] if isinstance(weights, (int, float)) else [float(weights.get(d, 0.0)) for d in domains]
     if not sum(raw) > 0:
         raise ValueError("the targets' weights sum to nothing")
     target = [r / sum(raw) for r in raw]
-    stored, own = cells.withColumn("rate", F.lit(1.0)), cells.columns
-    residuals: list[list[float]] = []
-    reached, before, taken = share, None, 0
-    while taken < steps and any(abs(a - t) > CLOSE * max(t, CLOSE) for a, t, s in zip(reached, target, share, strict=True) if s > 0):
+    stored = cells.select("tokens", "p", F.lit(1.0).alias("rate"))
+    every: list[list[float]] = []
+    since: list[list[float]] = []
+    reached, before = share, None
+    while len(every) < steps and any(abs(a - t) > CLOSE * max(t, CLOSE) for a, t, s in zip(reached, target, share, strict=True) if s > 0):
         residual = [(a - t) / s if s > 0 else 0.0 for a, t, s in zip(reached, target, share, strict=True)]
-        if before is not None and all(abs(a - b) <= 1e-9 for a, b in zip(residual, before, strict=True)):
-            break
-        residuals.append(residual)
-        before, taken = residual, taken + 1
-        reached = [v / whole for v in totals(stored, rate_after(residuals, "rate"))]
-        if len(residuals) == KEPT_STEPS:
-            stored, residuals = materialise(stored.select(*own, rate_after(residuals, "rate").alias("rate")), "cells"), []
-    return Fit(stored.select(*own, rate_after(residuals, "rate").alias("rate")), dict(zip(domains, target, strict=True)), dict(zip(domains, reached, strict=True)), taken)
+        if before is not None and all(abs(a - b) <= 1e-5 * max(abs(a), CLOSE) for a, b in zip(residual, before, strict=True)):
+            break  # no nearer: the posteriors do not allow it
+        before = residual
+        every.append(residual)
+        since.append(residual)
+        reached = [v / whole for v in totals(stored, rate_after(since, "rate"))]
+        if len(since) == KEPT_STEPS:
+            stored, since = materialise(stored.select("tokens", "p", rate_after(since, "rate").alias("rate")), "cells"), []
+    return Fit(every, dict(zip(domains, target, strict=True)), dict(zip(domains, reached, strict=True)))
+
+
+def membership(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """``docs`` with ``__tokens`` and ``__p``, whole numbers in proportion to the posterior of each of the domains, and the domains; see :func:`mix`."""
+    named = labelled.where("id is not null and domain is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.min(F.col("domain").cast("string")).alias("domain"))
+    named = materialise(named.join(docs.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi"), "named")
+    domains = [r["domain"] for r in named.select("domain").distinct().orderBy("domain").limit(MOST_DOMAINS + 1).collect()]
+    if len(domains) > MOST_DOMAINS:
+        raise ValueError(f"more than {MOST_DOMAINS} domains")
+    tokens = n_tokens(F.col(text_col).cast("string"))
+    if not domains:
+        return docs.withColumns({"__tokens": tokens, "__p": F.array().cast("array<int>")}), []
+    number = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int") - 1
+    known = named.select("id", number.alias("k"))
+    drawn = known.orderBy(F.xxhash64("id"), "id").limit(FITTED).withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4)))
+    own = features(docs, text_col)
+    fitted = docs.select(F.col(id_col).cast("long").alias("id"), *(c.alias(f) for f, c in own.items())).join(F.broadcast(drawn), "id").select("k", "fold", *own)
+    model = fit_classifier(materialise(fitted, "labelled"), domains)
+    grain = max(GRAIN, 4 * len(domains))
+    scored = (
+        docs.withColumns({"__tokens": tokens, **{f"__{f}": c for f, c in own.items()}})
+        .withColumn("__p", model.scores({f: F.col(f"__{f}") for f in own}))
+        .withColumn("__p", _highest_zero(F.col("__p")))
+        .withColumn("__p", F.transform(softmax(F.col("__p")), lambda p: F.round(p * grain).cast("int")))
+        .drop(*(f"__{f}" for f in own))
+    )
+    # Rows without an id are spread over keys, which the condition then refuses, instead of all in one task.
+    has = F.col(id_col).cast("long").isNotNull()
+    keyed = scored.withColumns({"__key": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"), F.lit("no id"))), "__has": has})
+    found = keyed.join(known.select(F.col("id").alias("__id"), F.col("k").alias("__k")), (F.col("__key") == F.col("__id")) & F.col("__has"), "left")
+    own_one = F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda k: F.when(k == F.col("__k"), 1).otherwise(0))
+    return found.withColumn("__p", F.when(F.col("__k").isNull(), F.col("__p")).otherwise(own_one)).drop("__key", "__has", "__id", "__k"), domains
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``rate`` and ``copies``.
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | float = 0.5, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str, str] = ("n_tokens", "rate", "copies")) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``rate`` and ``copies``, or columns of other ``names``.
 
     ``labelled(id, domain)`` names the domain of some documents.  ``copies`` is the rate rounded
     down or up by a number drawn from the id's hash, so that it is right on average and the same
     in every run.
 
-    * Null texts have no tokens; they and null features have rates like others.
+    * Null texts have no tokens and no words; they and null features have rates like others.
     * Null ids, and null domains, label nothing; of several domains of an id the least counts.
     * Repeated rows are documents of their own; rows that share an id are rounded alike.
     * Without labelled rows, or without tokens, every rate is 1; an empty table gives an empty table.
     * Extra columns stay; columns named like the new ones are replaced.
     """
-    rows = featured(docs, id_col, text_col)
-    named = labelled.where("id is not null and domain is not null").groupBy("id").agg(F.min("domain").alias("domain"))
-    learned = materialise(rows.join(named, "id").groupBy("domain", *FEATURES).agg(F.count(F.lit(1)).alias("n")), "labelled")
-    domains = [r["domain"] for r in learned.select("domain").distinct().orderBy("domain").limit(MOST_DOMAINS + 1).collect()]
-    if len(domains) > MOST_DOMAINS:
-        raise ValueError(f"more than {MOST_DOMAINS} domains")
-    cells = cells_of(rows)
+    seen, domains = membership(docs, labelled, id_col, text_col)
+    share = F.transform("__p", lambda x: x / F.aggregate("__p", F.lit(0), lambda s, y: s + y))
+    rate = F.lit(1.0)
     if domains:
-        cells = fit_rates(materialise(posteriors(cells, learned, domains), "cells"), domains, weights).cells
-    else:
-        cells = cells.withColumn("rate", F.lit(1.0))
-    own = [f"__{f}" for f in FEATURES]
-    length = F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0))
-    keyed = docs.withColumns({own[0]: F.col("source").cast("string"), own[1]: F.col("lang").cast("string"), own[2]: F.floor(F.log2(length + 1)).cast("string"), "n_tokens": n_tokens(F.col(text_col).cast("string"))}).drop("rate", "copies")
-    rates = materialise(cells.select(*(F.col(f).alias(f"c__{f}") for f in FEATURES), "rate"), "rates")
-    found = keyed.join(rates, [F.col(f).eqNullSafe(F.col(f"c{f}")) for f in own], "left")
+        cells = seen.groupBy("__p").agg(F.sum("__tokens").alias("tokens")).select("tokens", share.alias("p"))
+        rate = rate_after(fit_rates(materialise(cells, "cells"), domains, weights).residuals)
     drawn = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("mix")), 11) / F.lit(float(2**53))).cast("double")
-    return found.withColumn("copies", F.floor(F.col("rate") + drawn).cast("int")).drop(*own, *(f"c{f}" for f in own))
+    tokens_name, rate_name, copies_name = names
+    out = seen.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c == "p"}).withColumn("p", share)
+    out = out.withColumns({"__rate": rate}).withColumn("__copies", F.floor(F.col("__rate") + drawn).cast("int")).drop("p", "__p").withColumnRenamed("__own_p", "p")
+    kept = [c for c in docs.columns if c not in names]
+    return out.select(*kept, F.col("__tokens").alias(tokens_name), F.col("__rate").alias(rate_name), F.col("__copies").alias(copies_name))
+
 
+def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As many rows of each document as its rate comes to; all columns, whatever their names, stay as they are.
 
-def resampled(mixed: DataFrame) -> DataFrame:
-    """As many rows of each document as it has ``copies``, without the columns that :func:`mix` added."""
-    return mixed.where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("nth", "n_tokens", "rate", "copies")
+    See :func:`mix` for null, repeated and empty rows.
+    """
+    mixed = mix(docs, labelled, weights, id_col, text_col, ("__mix_tokens", "__mix_rate", "__mix_copies"))
+    return mixed.where("__mix_copies > 0").withColumn("__mix_nth", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
