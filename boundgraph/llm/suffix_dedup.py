@@ -15,8 +15,10 @@ places, so only suffixes around occurrences of the same gram, its *anchors*, can
 2. The surroundings of what is left are fetched and dealt by gram again.  For every
    distance to the left of the gram the suffixes are brought in suffix order, and
    previous and next smaller positions show what has an earlier match.
-   Grams that a bounded sample shows in a large share of the documents are dealt by
-   whole windows instead, so that no task gets all occurrences of a common line.
+   Grams that a bounded sample shows in a large share of the documents, and those of more than
+   ``CROWD`` anchors that are left, are dealt by whole windows instead, so that no task gets the
+   surroundings of all occurrences of a common line; equal windows are neighbours in suffix order, and
+   the first of them is the previous smaller position of all others.
 3. What is covered goes back to the documents.
 
 Nothing is approximate but hashes of 64 bits standing for grams and windows.
@@ -37,8 +39,10 @@ from .shared import materialise
 GRAM = 32
 #: Documents of the sample that finds common grams, the share of documents that makes one common, and how many there are at most.
 SAMPLE_DOCS, COMMON_SHARE, MOST_COMMON = 4000, 0.01, 16384
+#: Anchors with one gram and different surroundings that meet in suffix order; more are dealt by windows.
+CROWD = 20_000
 #: Bytes of text for each bucket that anchors are dealt to, and the fewest buckets.
-BUCKET_BYTES, FEWEST = 8_000_000, 64
+BUCKET_BYTES, FEWEST = 1_500_000, 16
 #: Anchors that a task collects before it sends them off.
 SEND = 200_000
 
@@ -230,7 +234,7 @@ def _rows(doc: np.ndarray, twin: np.ndarray, lo: np.ndarray, hi: np.ndarray, ask
     return pa.table({"doc": pa.array(doc), "twin": pa.array(twin), "code": pa.array(lo.astype(np.int64) << 32 | hi.astype(np.int64)), "ask": pa.array(np.full(len(doc), ask))})
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept)`` for every row: sizes in UTF-8 bytes, and the bytes that stay.
 
     * Null texts are empty.  Texts shorter than ``length`` keep everything.
@@ -296,11 +300,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         again = _repeats(x, ["h", "s"])
         known, first = x[again], x[~again]
         _, which, times = np.unique(first["h"], return_inverse=True, return_counts=True)
-        ask = first[(times[which] > 1) | _among(first["h"], common)]
+        hot, times = _among(first["h"], common), times[which]
+        asks = (times > 1) | hot
+        ask, whole = first[asks], ((times > crowd) | hot)[asks]
         return pa.concat_tables([
             _rows(place["doc"], place["twin"], np.maximum(place["from"], 0), place["to"], False),
             _rows(known["doc"], known["twin"], np.maximum(known["pos"] - side, 0), known["pos"] + length, False),
-            _rows(ask["doc"], ask["twin"], np.zeros(len(ask), np.int64), ask["pos"], True),
+            _rows(ask["doc"], ask["twin"], whole, ask["pos"], True),
         ])
 
     found = materialise(rows.select("doc", "text", "twin").mapInArrow(deal, "bucket int, anchors binary, places binary").groupBy("bucket").applyInArrow(meet, _FOUND), "anchors")
@@ -315,17 +321,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             known = w[later]
             place = np.empty(len(known), dtype=_PLACE)
             place["doc"], place["twin"], place["from"], place["to"] = known["doc"], known["twin"], known["pos"], known["pos"] + length
-            w = w[~later]
-            parts = _dealt(_of(x["h"], buckets), x, buckets), _dealt(_of(w["w"], buckets), w, buckets), _dealt(_of(place["doc"].astype(np.uint64), buckets), _joined(place), buckets)
+            w, place = w[~later], _joined(place)
+            parts = _dealt(_of(x["h"], buckets), x, buckets), _dealt(_of(w["w"], buckets), w, buckets), _dealt(_of(place["doc"].astype(np.uint64), buckets), place, buckets)
             keys = sorted({k for p in parts for k in p})
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([p.get(k, b"") for k in keys], pa.binary()) for p in parts)], names=["bucket", "segments", "windows", "places"])
 
         for batch in batches:
             for doc, twin, b, (codes,) in read(batch):
-                at = np.unique(codes.values.to_numpy()) & 0x7FFFFFFF
-                at = at[at <= len(b) - GRAM]
+                code = np.unique(codes.values.to_numpy())
+                code = code[(code & 0x7FFFFFFF) <= len(b) - GRAM]
+                at, hot = code & 0x7FFFFFFF, code >> 32 > 0
                 h = gram_hashes(b)
-                hot = _among(h[at], common)
                 own = at[~hot]
                 x = np.empty(len(own), dtype=segment)
                 wide = np.concatenate([np.zeros(side, np.uint8), b, np.zeros(side, np.uint8)])

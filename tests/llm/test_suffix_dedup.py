@@ -52,19 +52,19 @@ def sample(seed, n=80):
     return rows
 
 
-def removed(spark, rows, length):
+def removed(spark, rows, length, crowd=suffix_dedup.CROWD):
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, doc string, pos int")
-    return sorted(((r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs, length=length).collect()), key=str)
+    return sorted(((r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs, length=length, crowd=crowd).collect()), key=str)
 
 
-@pytest.mark.parametrize("seed,length,share,send", [(1, 40, 2.0, 200_000), (2, 40, 2.0, 50), (3, 40, 0.05, 50), (4, 40, 0.05, 200_000), (5, 100, 0.2, 300), (7, 32, 2.0, 100)])
-def test_matches_the_definition(spark, monkeypatch, seed, length, share, send):
-    """share 0.05 deals common grams by windows; a small send makes many parcels."""
+@pytest.mark.parametrize("seed,length,share,send,crowd", [(1, 40, 2.0, 200_000, 10**6), (2, 40, 2.0, 50, 3), (3, 40, 0.05, 50, 10**6), (4, 40, 0.05, 200_000, 5), (5, 100, 0.2, 300, 2), (6, 40, 2.0, 200_000, 1), (7, 32, 2.0, 100, 4)])
+def test_matches_the_definition(spark, monkeypatch, seed, length, share, send, crowd):
+    """share 0.05, or a small crowd, deals grams by windows; a small send makes many parcels."""
     monkeypatch.setattr(suffix_dedup, "SEND", send)
     grams = suffix_dedup.common_grams
     monkeypatch.setattr(suffix_dedup, "common_grams", lambda rows, n: grams(rows, n, share=share))
     rows = sample(seed)
-    assert removed(spark, rows, length) == brute(rows, length)
+    assert removed(spark, rows, length, crowd) == brute(rows, length)
 
 
 def test_repeated_ids_and_no_rows(spark):
