@@ -9,15 +9,19 @@ verified bit by bit.
 
 So that not all pairs have to meet, the pivots come in *tables*: the pivots of one
 table differ from the zero fingerprint in that table's bits only.  Rows meet where
-all relative distances of one table agree.  When the tables split the bits into
-``max_bits + 1`` disjoint parts, a pair within ``max_bits`` leaves at least one part
-untouched and therefore agrees in that table: nothing is lost.  Drawn tables lose pairs
-at a rate that follows from their number and width.
+all relative distances of one table agree, which is to say where its bits agree.  Pivots
+drawn at random could not choose candidates: their coordinates of any two fingerprints lie within
+``max_bits`` = 3 of 64 almost half the time.  They discard what has met in a bucket.
+When the bits are split into ``p`` disjoint parts and a table has all but ``max_bits`` of them, a pair
+within ``max_bits`` agrees in at least one table: nothing is lost.  Drawn tables lose pairs
+at a rate that follows from their number and width.  Both kinds get wider, and more, as
+the number of fingerprints grows, so that a bucket holds about ``CROWD`` of unrelated ones at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from .shared import connected_components, materialise
 
 SEED = 42
+#: Unrelated fingerprints that a bucket is to hold at most.
+CROWD = 256
 #: Fingerprints that one block of a bucket holds; a larger bucket is split into blocks that meet in pairs.
 BLOCK = 2048
 #: Shingles of a family of texts that one task holds against each other; a larger family is split like a bucket.
@@ -111,15 +117,29 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def even_tables(words: int, parts: int) -> list[list[int]]:
-    """``parts`` disjoint tables that share all bits: exact for ``max_bits < parts``."""
-    return [list(x) for x in np.array_split(np.arange(64 * words), parts)]
+def table_width(n: int, least: int) -> int:
+    """Bits that a table has to have for ``n`` fingerprints."""
+    return max(least, int(np.ceil(np.log2(max(n, 2) / CROWD))))
 
 
-def drawn_tables(words: int, tables: int, width: int) -> list[list[int]]:
-    """``tables`` tables of ``width`` bits each, drawn at random with a fixed seed."""
+def exact_tables(words: int, max_bits: int, n: int) -> list[list[int]]:
+    """Tables that lose no pair within ``max_bits``: of the fewest parts that make them wide enough for ``n`` fingerprints, all but ``max_bits``."""
+    bits, parts = 64 * words, max_bits + 1
+    while parts < 3 * (max_bits + 1) and bits * (parts - max_bits) // parts < table_width(n, 1):
+        parts += 1
+    split = np.array_split(np.arange(bits), parts)
+    return [sorted(np.concatenate(own).tolist()) for own in combinations(split, parts - max_bits)]
+
+
+def drawn_tables(words: int, tables: int, width: int, apart: float, n: int) -> list[list[int]]:
+    """Tables drawn at random with a fixed seed: ``tables`` of ``width`` bits, or, for many fingerprints, wider ones.
+
+    Of wider ones there are as many more as keep the chance that a pair meets which differs in the share ``apart`` of all bits.
+    """
+    wide = table_width(n, width)
+    missed = lambda bits: np.log1p(-((1 - apart) ** bits))
     rng = np.random.default_rng(SEED)
-    return [sorted(rng.choice(64 * words, width, replace=False).tolist()) for _ in range(tables)]
+    return [sorted(rng.choice(64 * words, wide, replace=False).tolist()) for _ in range(int(np.ceil(tables * missed(width) / missed(wide))))]
 
 
 def table_pivots(bits: list[int], words: int) -> np.ndarray:
@@ -191,38 +211,8 @@ def local_roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nd
     return root
 
 
-def spanning_forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs ``(i, j, distance)`` of ``n`` rows, those of a minimum spanning forest.
-
-    Between steps only the forest so far is kept, so memory follows the rows, not the pairs.
-    """
-    kept = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)
-    for pair in pairs:
-        if not len(pair[0]):
-            continue
-        i, j, d = (np.concatenate([a, b]) for a, b in zip(kept, pair, strict=True))
-        root, chosen = np.arange(n), []
-        for level in np.unique(d):
-            at = np.flatnonzero(d == level)
-            while True:
-                a, b = root[i[at]], root[j[at]]
-                at, a, b = at[a != b], a[a != b], b[a != b]
-                if not len(at):
-                    break
-                high, first = np.unique(np.maximum(a, b), return_index=True)
-                root[high] = np.minimum(a, b)[first]
-                chosen.append(at[first])
-                while (root[root] != root).any():
-                    root = root[root]
-        chosen = np.concatenate([*chosen, np.zeros(0, np.int64)]).astype(np.int64)
-        kept = i[chosen], j[chosen], d[chosen]
-    return kept[0], kept[1]
-
-
 def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], words: int = 1, block: int = BLOCK) -> DataFrame:
-    """``(a, b)``: links of at most ``max_bits`` that connect all that are, at most one per row and block.
-
-    They are the closest ones: a minimum spanning forest of every block.
+    """``(a, b)``: of all links of at most ``max_bits``, such as connect the same nodes, one per row and block: to the least node there that it reaches.
 
     ``nodes(node, f0, ...)`` may have a fingerprint under several nodes.  A bucket holds the rows that
     agree in one pivot table; one with more than ``block`` rows is dealt by hash into
@@ -255,8 +245,9 @@ def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], words: int =
             f = np.stack([batch.column(n).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)
             order = np.lexsort((ids, group))
             group, ids, f = group[order], ids[order], f[order]
-            i, j = spanning_forest(len(ids), close_pairs(f, group, max_bits, general))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], names=["a", "b"])
+            root = local_roots(len(ids), ((i, j) for i, j, _ in close_pairs(f, group, max_bits, general)))
+            hung = np.flatnonzero(root != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[hung], ids[root[hung]])), pa.array(np.minimum(ids[hung], ids[root[hung]]))], names=["a", "b"])
 
     typed = ", ".join(f"{n} long" for n in names)
     keyed = nodes.select("node", *names).mapInArrow(keys, f"t int, key long, node long, {typed}")
@@ -360,11 +351,11 @@ def alike(found: DataFrame, docs: DataFrame, similarity: float, shingle: int, id
     return alone.union(split.select("id", "grams")).union(met).mapInArrow(verify, "a long, b long").where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, max_bits: int = 3, tables: list[list[int]] | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, max_bits: int = 3, tables: Callable[[int], list[list[int]]] | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, f0.., component)`` for every row: its fingerprint and the least id reachable by links.
 
     Two fingerprints are linked if they differ in ``max_bits`` bits at most.  Without
-    ``tables`` that is exact.  With ``similarity`` such links only name families of texts, and the links
+    ``tables``, which gives tables for a number of fingerprints, that is exact.  With ``similarity`` such links only name families of texts, and the links
     are those of texts of a family whose sets of shingles are as similar (Jaccard); fingerprints are
     then of the sets, and only texts of one set are copies unseen.
 
@@ -380,7 +371,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, max_bits:
     # One document may stand under two texts if its id is repeated: those fingerprints are one node.
     same = prints.where("id is not null").groupBy("id").agg(*(F.min(n).alias(f"lo{i}") for i, n in enumerate(keys)), *(F.max(n).alias(f"hi{i}") for i, n in enumerate(keys))).where(" or ".join(f"lo{i} <> hi{i}" for i in range(len(keys))))
     twice = prints.join(same.select("id"), "id", "left_semi").join(nodes.select("node", *keys), keys).select(F.col("id").alias("a"), F.col("node").alias("b"))
-    linked = links(nodes, max_bits, tables or even_tables(words, max_bits + 1), words)
+    n = nodes.count()
+    linked = links(nodes, max_bits, tables(n) if tables else exact_tables(words, max_bits, n), words)
     if similarity is not None:
         linked = alike(materialise(linked, "links"), docs, similarity, shingle, id_col, text_col)
     found = connected_components(linked.union(twice))

@@ -1,4 +1,6 @@
 import random
+from functools import partial
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -69,12 +71,25 @@ def test_hot_bucket_is_split(spark):
     for i, p in sorted(prints.items()):
         one.setdefault(p, i)
     nodes = spark.createDataFrame([Row(node=i, f0=p - 2**64 if p >= 2**63 else p) for p, i in one.items()])
-    links = simhash.links(nodes, 3, simhash.even_tables(1, 4), block=16)
+    links = simhash.links(nodes, 3, simhash.exact_tables(1, 3, 400), block=16)
     found = {r["node"]: r["component"] for r in simhash.connected_components(links).collect()}
     want = brute_components({i: p for p, i in one.items()})
     assert {i: found.get(i, i) for i in want} == want
 
 
+def test_tables_get_wider_and_stay_exact():
+    rng = random.Random(7)
+    for n, parts in ((1000, 4), (2**24, 4), (2**30, 5), (2**36, 6), (2**45, 8)):
+        tables = simhash.exact_tables(1, 3, n)
+        assert len(tables) == len(list(combinations(range(parts), 3))) and min(map(len, tables)) >= simhash.table_width(n, 1)
+        for _ in range(300):
+            apart = set(rng.sample(range(64), 3))
+            assert any(not apart & set(t) for t in tables)
+    few, many = (simhash.drawn_tables(4, 96, 16, 0.1515, n) for n in (10**5, 2**30))
+    assert (len(few), len(few[0])) == (96, 16) and len(many[0]) == 22
+    assert 1 - (1 - 0.8485**22) ** len(many) >= 1 - (1 - 0.8485**16) ** 96 - 1e-6
+
+
 def test_edge_rows(spark):
     docs = spark.createDataFrame([(1, None), (1, "a b c d e f"), (2, ""), (None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
     got = sorted(((r["id"] is None, r["id"], r["f0"] == 0, r["component"]) for r in simhash.near_duplicates(docs).collect()), key=str)
@@ -92,7 +107,7 @@ def test_wide_fingerprints_find_looser_copies(spark):
         for at in rng.sample(range(400), 4):
             t[at] = "new"
         rows.append((2 * i + 1, " ".join(t)))
-    got = {r["id"]: r["component"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, words=2, max_bits=24, tables=simhash.drawn_tables(2, 32, 16)).collect()}
+    got = {r["id"]: r["component"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, words=2, max_bits=24, tables=partial(simhash.drawn_tables, 2, 32, 16, 0.1)).collect()}
     assert got == {i: i - i % 2 for i in range(40)}
 
 
@@ -130,7 +145,7 @@ def edited_families(rng, n=8, size=60):
 def test_a_refused_link_hides_no_other(spark):
     rows = edited_families(random.Random(4))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["id"]: r["component"] for r in simhash.near_duplicates(docs, shingle=5, words=4, max_bits=64, tables=simhash.drawn_tables(4, 96, 16), similarity=0.8).collect()}
+    got = {r["id"]: r["component"] for r in simhash.near_duplicates(docs, shingle=5, words=4, max_bits=64, tables=partial(simhash.drawn_tables, 4, 96, 16, 0.1515), similarity=0.8).collect()}
     want = brute_families(rows)
     print("components", len(set(got.values())), "of", len(set(want.values())))
     assert got == want
@@ -168,7 +183,7 @@ def test_repeated_lines_neither_make_nor_hide_copies(spark):
         rows += [(i, " ".join(text)), (i + 1, " ".join(text[:99] + again * 10 + text[99:]))]
     rows += [(40, "a b c d e f a b c d e"), (41, "A b c d e f a b c d E"), (42, "a b c d e f a b c d e f a b c d e"), (43, None), (44, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = simhash.near_duplicates(docs, shingle=5, words=4, max_bits=64, tables=simhash.drawn_tables(4, 96, 16), similarity=0.8)
+    found = simhash.near_duplicates(docs, shingle=5, words=4, max_bits=64, tables=partial(simhash.drawn_tables, 4, 96, 16, 0.1515), similarity=0.8)
     assert found.columns == ["id", "f0", "f1", "f2", "f3", "component"]
     got = {r["id"]: r["component"] for r in found.collect()}
     want = brute_families([(i, (t or "").lower()) for i, t in rows])
