@@ -8,6 +8,8 @@ target weights, and what is left is tokenised and packed.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from boundgraph.llm.shared import materialise
 
 #: Near duplicates: five-word shingles of a Jaccard similarity of 0.8; candidates differ in 64 of 256 bits at most and agree in one of 96 tables.
 #: At exactly 0.8 two equally long texts differ in 0.1515 of the bits (0.99 of such pairs are candidates), and more alike ones in fewer.
-SHINGLE, SIMILARITY, WORDS, MAX_BITS, TABLES, TABLE_BITS = 5, 0.8, 4, 64, 96, 16
+SHINGLE, SIMILARITY, WORDS, MAX_BITS, TABLES, TABLE_BITS, APART = 5, 0.8, 4, 64, 96, 16, 0.1515
 #: Each source's share of tokens is brought to this power of what it has.
 TEMPERATURE = 0.7
 CAPACITY = 2048
@@ -28,7 +30,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose co-trained score is at least a half."""
+    """The documents whose co-trained score is at least a half.
+
+    Null and empty texts and null metadata are scored like others; repeated rows go or stay alike;
+    labels without a document, and null ones, count for nothing; an empty table stays empty; extra columns stay.
+    """
     return quality.kept(docs, quality.train(docs, good_labels(_table(spark, sf_dir, "labels"))))
 
 
@@ -37,27 +43,37 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Documents without doc_id stay; of rows that repeat a doc_id all stay if it is the smallest.
     """
-    tables = simhash.drawn_tables(WORDS, TABLES, TABLE_BITS)
+    tables = partial(simhash.drawn_tables, WORDS, TABLES, TABLE_BITS, APART)
     found = simhash.near_duplicates(docs, shingle=SHINGLE, words=WORDS, max_bits=MAX_BITS, tables=tables, similarity=SIMILARITY)
     copies = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked, and their new lengths."""
+    """Documents with personal data masked, and their new lengths.
+
+    Every row stays; a null text stays null and has the length 0; an empty table stays empty; extra columns stay as they are.
+    """
     clean = pii.redact(docs, pii.train(docs))
     kind = dict(docs.dtypes)["n_chars"]
     return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(kind)).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as its source's rate comes to."""
-    mixed = mixing.mix(docs, labelled_sources(docs, _table(spark, sf_dir, "labels")), weights=TEMPERATURE)
-    return mixing.resampled(mixed).select(*docs.columns)
+    """As many copies of each document as its rate comes to, which may be none.
+
+    A null or empty text has no tokens and a rate like others; rows that share an id are rounded alike;
+    without labels every row stays once; an empty table stays empty; extra columns stay, whatever their names.
+    """
+    return mixing.resample(docs, labelled_sources(docs, _table(spark, sf_dir, "labels")), weights=TEMPERATURE)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of every document and their places in sequences."""
+    """Token pieces of every document and their places in sequences.
+
+    A null or empty text is one piece of one token; repeated rows are each packed; a null id is kept; an
+    empty table gives no piece; extra columns are left out.
+    """
     return packing.pack_documents(docs, capacity=CAPACITY).withColumnRenamed("id", "doc_id")
 
 
