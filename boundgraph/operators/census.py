@@ -62,15 +62,23 @@ def stale(graph: Graph) -> DataFrame:
 
 def stats(graph: Graph) -> DataFrame:
     """One row: rows, rules, edges, relations, recyclable, dangling, orphans."""
-    many = F.count(F.lit(1))
-    law, edge, gone = F.col("tag") == LAW, F.col("tag") == EDGE_TAG, P.recyclable()
-    # One pass counts what each row shows on its own, by tag and relation; two more find what is broken.
-    by_kind = records(graph).groupBy("tag", F.when(edge, P.fold_relation(P.value("relation"))).alias("relation")).agg(many.alias("n"), F.count_if(gone & ~law).alias("gone"))
-    counted = by_kind.agg(F.sum(F.when(~law, F.col("n"))).alias("rows"), F.sum(F.when(law, F.col("n"))).alias("laws"), F.sum(F.when(edge, F.col("n"))).alias("edges"), F.count_if(edge).alias("relations"), F.sum("gone").alias("recyclable"))
-    parts = [counted.select(F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(c), F.coalesce(F.col(c), F.lit(0)).cast("long")) for c in counted.columns)))).alias("what", "n"))]
-    parts += [df.agg(many.alias("n")).select(F.lit(name).alias("what"), "n") for name, df in (("dangling", dangling(graph)), ("orphans", orphans(graph)))]
+    many, none = F.count(F.lit(1)), F.lit(0).cast("long")
+    law, gone = F.col("tag") == LAW, P.recyclable()
     names = ["rows", "laws", "edges", "relations", "recyclable", "dangling", "orphans"]
-    return reduce(DataFrame.union, parts).agg(*(F.sum(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in names))
+
+    def part(df: DataFrame, **known: Column) -> DataFrame:
+        return df.agg(*(F.coalesce(known[n], none).cast("long").alias(n) if n in known else none.alias(n) for n in names))
+
+    nodes = part(graph.nodes, rows=F.count_if(~law), laws=F.count_if(law), recyclable=F.count_if(gone & ~law))
+    by_relation = graph.edges.groupBy(P.fold_relation(F.col("relation")).alias("relation")).agg(many.alias("n"), F.count_if(gone).alias("gone"))
+    edges = part(by_relation, rows=F.sum("n"), edges=F.sum("n"), relations=many, recyclable=F.sum("gone"))
+    # One join of all ends with all names tells both kinds of what is broken: ends without a node, and nodes that no end names.
+    may = ~F.col("tag").isin(*ORPHAN_EXEMPT, LAW)
+    named = graph.nodes.where(~law).select(F.explode(F.array_distinct(F.filter(F.array("hid", nickname()), lambda t: t.isNotNull()))).alias("token"), F.col("hid").alias("node"), may.alias("may"))
+    ends = graph.edges.select(F.col("hid").alias("edge"), F.explode(F.array("src", "dist")).alias("token"))
+    met = named.join(ends, "token", "full_outer").groupBy("node", F.when(F.col("node").isNull(), F.col("edge")).alias("loose")).agg(F.bool_or(F.col("edge").isNotNull()).alias("named"), F.bool_or("may").alias("may"))
+    broken = part(met, dangling=F.count_if(F.col("node").isNull()), orphans=F.count_if(F.col("node").isNotNull() & F.col("may") & ~F.col("named")))
+    return reduce(DataFrame.union, [nodes, edges, broken]).agg(*(F.sum(n).alias(n) for n in names))
 
 
 def outline(graph: Graph, exemplars: int = 3, active_only: bool = True, max_rows: int | None = None) -> DataFrame:

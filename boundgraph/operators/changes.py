@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import props as P
 from ..model import LAW, RESERVED_TAGS, Graph, GraphError, nickname
+from ..storage import materialise
 from .census import referenced, tokens
-from .seeds import high_water, match_edges, match_nodes, resolve, the_one
+from .seeds import match_edges, match_nodes, resolve, the_one
 
 EMPTY = "map<string,string>"
 
@@ -68,18 +69,42 @@ def append(graph: Graph, nodes: DataFrame | None = None, edges: DataFrame | None
 
 
 def minted(graph: Graph, rows: DataFrame, prefix: Column, order: list[Column]) -> DataFrame:
-    """``rows`` with new handles: the prefix and numbers after the highest in use for it."""
-    high = high_water(graph).union(records_high(graph)).groupBy("prefix").agg(F.max("high").alias("high"))
-    numbered = rows.withColumn("prefix", prefix).withColumn("n", F.row_number().over(Window.partitionBy("prefix").orderBy(*order)))
+    """A batch of ``rows`` with new handles: the prefix and numbers after the highest in use for it."""
+    rows = rows.withColumn("prefix", prefix)
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("prefix").orderBy(*order)))
+    return _handled(graph, rows, numbered)
+
+
+def minted_many(graph: Graph, rows: DataFrame, prefix: Column, key: str, bucket_rows: int = 4096) -> DataFrame:
+    """As :func:`minted` for any number of rows, by the hash of ``key``: buckets are numbered on their own, each after those before it."""
+    rows = rows.withColumn("prefix", prefix).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(1 + rows.count() // bucket_rows)))
+    sizes = rows.groupBy("prefix", "bucket").agg(F.count(F.lit(1)).alias("many"))
+    before = Window.partitionBy("prefix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("prefix", "bucket", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("first"))
+    within = F.row_number().over(Window.partitionBy("prefix", "bucket").orderBy(key))
+    numbered = rows.withColumn("n", within).join(starts, ["prefix", "bucket"]).withColumn("n", F.col("n") + F.col("first")).drop("bucket", "first")
+    return _handled(graph, rows, numbered)
+
+
+#: Prefixes that a scan of all names is narrowed to before their numbers are read.
+FEW_PREFIXES = 16
+
+
+def _handled(graph: Graph, rows: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Handles from ``prefix`` and ``n``, after the highest number of the prefix among nicknames and handles."""
+    few = [r[0] for r in rows.select("prefix").distinct().limit(FEW_PREFIXES + 1).collect()]
+    each = F.explode(F.filter(F.array("hid", nickname()), lambda t: t.isNotNull())).alias("name")
+    names = graph.nodes.select(each).union(graph.edges.select(each))
+    name = F.col("name")
+    if len(few) <= FEW_PREFIXES:
+        begins = F.lit(False)
+        for p in few:
+            begins = begins | F.startswith(name, F.lit(p))
+        names = names.where(begins)
+    high = names.where(F.rlike(name, F.lit(r"\A[A-Za-z_]+\d{1,18}\z"))).groupBy(F.regexp_extract(name, r"^([A-Za-z_]+)", 1).alias("prefix")).agg(F.max(F.regexp_extract(name, r"(\d+)$", 1).cast("long")).alias("high"))
     return numbered.join(high, "prefix", "left").withColumn("hid", F.concat("prefix", (F.coalesce("high", F.lit(0)) + F.col("n")).cast("string"))).drop("prefix", "n", "high")
 
 
-def records_high(graph: Graph) -> DataFrame:
-    """As :func:`.seeds.high_water`, over handles."""
-    hids = graph.nodes.select("hid").union(graph.edges.select("hid")).where(F.rlike("hid", F.lit(r"\A[A-Za-z_]+\d{1,18}\z")))
-    return hids.groupBy(F.regexp_extract("hid", r"^([A-Za-z_]+)", 1).alias("prefix")).agg(F.max(F.regexp_extract("hid", r"(\d+)$", 1).cast("long")).alias("high"))
-
-
 def create_nodes(graph: Graph, rows: DataFrame, declared: Mapping[str, list[str]] | None = None) -> Graph:
     """Add ``rows(tag, props)``; handles are the tag and a number."""
     rows = _bounded(graph, rows.withColumn("tag", F.upper("tag")))
@@ -173,7 +198,7 @@ def merge_nodes(graph: Graph, rows: DataFrame, keys: list[str]) -> Graph:
     rows = rows.withColumn("key", key)
     if not rows.groupBy("tag", "key").count().where("count > 1").isEmpty():
         raise GraphError("duplicate_row", "two rows have the same keys")
-    hits = graph.nodes.select("hid", "tag", key.alias("key")).join(F.broadcast(rows.select("tag", "key", F.col("props").alias("patch"))), ["tag", "key"])  # at most Limits.batch rows
+    hits = materialise(graph.nodes.select("hid", "tag", key.alias("key")).join(F.broadcast(rows.select("tag", "key", F.col("props").alias("patch"))), ["tag", "key"]), "hits")  # at most Limits.batch rows are broadcast
     if not hits.groupBy("tag", "key").count().where("count > 1").isEmpty():
         raise GraphError("cue_conflict", "a row matches several nodes")
     found = hits.select("hid", "patch")

@@ -71,7 +71,11 @@ def save(graph: Graph, path: str) -> None:
 
 
 def clipped(lines: DataFrame, max_bytes: int, order: str = "position") -> DataFrame:
-    """The lines of a bounded reply, in order, until ``max_bytes`` are full."""
+    """The lines of a bounded reply, in order, until ``max_bytes`` are full.
+
+    A line has one byte at least, so no more lines than bytes can fit; only those are gathered.
+    """
+    lines = lines.orderBy(order).limit(max(max_bytes, 0))
     total = F.sum(F.octet_length("line") + 1).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return lines.withColumn("__n", total).where(F.col("__n") <= max_bytes).drop("__n")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import props as P
 from ..model import LAW, Graph, GraphError, nickname
-from .changes import check, minted
+from .changes import check, minted_many
 
 
 def _said(pairs: str = "props") -> Column:
@@ -112,7 +112,7 @@ def import_slice(lead: Graph, part: Graph, policy: str = "keep") -> Graph:
     if policy == "remint":
         taken = nodes.withColumn("nick", nickname()).join(used, "nick", "left_semi")
         prefix = F.coalesce(F.nullif(F.regexp_extract("nick", r"^([A-Za-z_]+)", 1), F.lit("")), F.lit("N"))
-        fresh = minted(lead, taken.withColumnRenamed("hid", "old"), prefix, [F.col("old")]).select(F.col("old").alias("hid"), F.col("hid").alias("new"))
+        fresh = minted_many(lead, taken.withColumnRenamed("hid", "old"), prefix, "old").select(F.col("old").alias("hid"), F.col("hid").alias("new"))
         nodes = nodes.join(fresh, "hid", "left").withColumn("patch", F.create_map(F.lit("id"), F.col("new"))).select("hid", "tag", P.overlaid("props", "patch").alias("props"))
         same = nodes.select("hid", F.lit(None).cast("string").alias("as"), F.lit(0).cast("long").alias("hits"))
     elif policy == "reject":
@@ -122,7 +122,8 @@ def import_slice(lead: Graph, part: Graph, policy: str = "keep") -> Graph:
         same = nodes.select("hid", "tag", _said().alias("said")).join(there, ["tag", "said"], "left").groupBy("hid").agg(F.min("own").alias("as"), F.count("own").alias("hits"))
     settled = nodes.join(same, "hid")
     # A handle that lead uses for something else gets a mark.
-    lead_ids = lead.nodes.select("hid").union(lead.edges.select("hid")).distinct().select(F.col("hid").alias("used"))
+    brought = nodes.select("hid").union(edges.select("hid"))
+    lead_ids = lead.nodes.select("hid").union(lead.edges.select("hid")).join(brought, "hid", "left_semi").distinct().select(F.col("hid").alias("used"))
     added = settled.where("hits = 0").join(lead_ids, F.col("hid") == F.col("used"), "left").withColumn("new", F.when(F.col("used").isNotNull(), F.concat(F.lit("in:"), F.col("hid"))).otherwise(F.col("hid")))
     place = added.select("hid", "new").union(settled.where("hits = 1").select("hid", F.col("as").alias("new")))
     skipped = settled.where("hits > 1").select("hid")

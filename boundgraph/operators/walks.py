@@ -65,6 +65,11 @@ def live_nodes(graph: Graph) -> DataFrame:
     return graph.nodes.select(F.col("hid").alias("node"))
 
 
+def settled(graph: Graph, steps: DataFrame) -> DataFrame:
+    """Steps to nodes that are there, stored once, so that no level asks the nodes again."""
+    return materialise(steps.select("at", "far", "edge", "forward").join(live_nodes(graph), F.col("far") == F.col("node"), "left_semi"), "steps")
+
+
 def seeds_of(graph: Graph, found: DataFrame) -> DataFrame:
     """Rows with ``hid`` as seeds of their own."""
     return found.select(F.col("hid").alias("seed"), F.col("hid").alias("node"))
@@ -127,13 +132,16 @@ def context_pack(graph: Graph, anchors: DataFrame, depth: int = 2, max_rows: int
     reached = neighbours(graph, anchors.select(F.col("pack").alias("seed"), "node"), depth, crossed=seen)
     none = reached.select("seed", "edge").where(F.lit(False))
     edges = reduce(DataFrame.union, seen, none).distinct().join(graph.edges.withColumnRenamed("hid", "edge"), "edge")
-    nodes = reached.join(graph.nodes.withColumnRenamed("hid", "node"), "node").select(F.col("seed").alias("pack"), F.when(F.col("hop") == 0, 0).otherwise(1).alias("part"), F.col("node").alias("hid"), "tag", "props", F.lit("").alias("relation"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dist"))
-    rows = nodes.union(edges.select(F.col("seed").alias("pack"), F.lit(2), F.col("edge").alias("hid"), F.lit("EDG"), "props", P.fold_relation(F.col("relation")), "src", "dist"))
+    nodes = reached.join(graph.nodes.withColumnRenamed("hid", "node"), "node").select(F.col("seed").alias("pack"), F.when(F.col("hop") == 0, 0).otherwise(1).alias("part"), F.col("node").alias("hid"), "tag", "props", F.lit("").alias("relation"))
+    rows = edges.select(F.col("seed").alias("pack"), F.lit(2).alias("part"), F.col("edge").alias("hid"), F.lit("EDG").alias("tag"), "props", P.fold_relation(F.col("relation")).alias("relation"), "src", "dist")
     if active_only:
-        rows = rows.where(~P.recyclable())
+        nodes, rows = nodes.where(~P.recyclable()), rows.where(~P.recyclable())
+    # Only edges have ends to look up: node rows would all meet under the missing key.
+    none = F.array().cast("array<struct<t:string,p:array<struct<key:string,value:string>>>>")
     ends = graph.nodes.select(F.col("hid").alias("end"), F.array(F.struct(F.col("tag").alias("t"), P.payload().alias("p"))).alias("k"))
     for side in ("src", "dist"):
-        rows = rows.join(ends.withColumnsRenamed({"end": side, "k": f"{side}_key"}), side, "left").withColumn(f"{side}_key", F.coalesce(f"{side}_key", F.array().cast("array<struct<t:string,p:array<struct<key:string,value:string>>>>")))
+        rows = rows.join(ends.withColumnsRenamed({"end": side, "k": f"{side}_key"}), side, "left").withColumn(f"{side}_key", F.coalesce(f"{side}_key", none))
+    rows = rows.drop("src", "dist").unionByName(nodes.withColumns({"src_key": none, "dist_key": none}))
     order = [F.col("part"), F.col("tag"), F.col("relation"), F.col("src_key"), F.col("dist_key"), P.payload(), F.col("hid")]
     kept = rows.withColumn("position", F.row_number().over(Window.partitionBy("pack").orderBy(*order))).where(F.col("position") <= most)
     parts = F.element_at(F.array(*map(F.lit, ("seed", "node", "edge"))), F.col("part") + 1)
@@ -192,11 +200,11 @@ def shell(pack: DataFrame, graph: Graph) -> DataFrame:
 
 
 def typed_walk(graph: Graph, seeds: DataFrame, relation: str, direction: str = "out", min_hops: int = 1, max_hops: int = 1, where: Column | None = None, limit: int | None = None) -> DataFrame:
-    """``(seed, row, hop, parent, far, edge, forward, path)`` along one relation, every node once.
+    """``(seed, row, hop, parent, far, edge, forward, path, offered)`` along one relation, every node once.
 
     ``where`` is a predicate over the far node's ``tag`` and ``props``; it chooses rows, the walk goes
     on through what it leaves out.  ``row`` numbers a seed's rows by hop, then path; beyond
-    ``limit`` rows a seed's are cut.
+    ``limit`` rows a seed's are cut; ``offered`` says how many there were.
     """
     if not 1 <= min_hops <= max_hops <= graph.limits.walk_hops:
         raise GraphError("bad_hops", f"1 to {graph.limits.walk_hops} hops")
@@ -206,12 +214,14 @@ def typed_walk(graph: Graph, seeds: DataFrame, relation: str, direction: str = "
     if not has_relation(graph, relation):
         raise GraphError("unknown_relation", relation)
     known = live_nodes(graph)
-    reached = spread(seeds.join(known, "node", "left_semi").select("seed", "node"), adjacency(graph.edges, relation, direction), max_hops, within=known).where(F.col("hop") >= min_hops)
+    reached = spread(seeds.join(known, "node", "left_semi").select("seed", "node"), settled(graph, adjacency(graph.edges, relation, direction)), max_hops).where(F.col("hop") >= min_hops)
     if where is not None:
         good = graph.nodes.where(P.holds(where)).select(F.col("hid").alias("node"))
         reached = reached.join(good, "node", "left_semi")
     row = F.row_number().over(Window.partitionBy("seed").orderBy("hop", "path"))
-    return reached.withColumn("row", row).where(F.col("row") <= most).select("seed", "row", "hop", "parent", F.col("node").alias("far"), "edge", "forward", "path")
+    counted = reached.groupBy("seed").agg(F.count(F.lit(1)).alias("offered"))
+    kept = reached.withColumn("row", row).where(F.col("row") <= most).join(counted, "seed")
+    return kept.select("seed", "row", "hop", "parent", F.col("node").alias("far"), "edge", "forward", "path", "offered")
 
 
 def find_paths(graph: Graph, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -223,7 +233,7 @@ def find_paths(graph: Graph, pairs: DataFrame, max_depth: int | None = None) ->
     wanted = pairs.select(F.col("src").alias("seed"), F.col("dist").alias("node")).distinct()
     known = live_nodes(graph)
     starts = wanted.select("seed", F.col("seed").alias("node")).distinct().join(known, "node", "left_semi").select("seed", "node")
-    reached = spread(starts, adjacency(graph.edges, direction="out"), depth, within=known)
+    reached = spread(starts, settled(graph, adjacency(graph.edges, direction="out")), depth)
     found = reached.join(wanted, ["seed", "node"], "left_semi").select(F.col("seed").alias("src"), F.col("node").alias("dist"), F.col("hop").alias("hops"), "path")
     return pairs.join(found, ["src", "dist"], "left")
 
@@ -260,7 +270,7 @@ def partition(graph: Graph, roots: DataFrame, relations: Sequence[tuple[str, str
     ways = adjacency(graph.edges, *relations[0])
     for relation, direction in relations[1:]:
         ways = ways.union(adjacency(graph.edges, relation, direction))
-    reached = spread(seeds_of(graph, roots), ways, graph.limits.walk_hops if hops is None else hops, within=live_nodes(graph))
+    reached = spread(seeds_of(graph, roots), settled(graph, ways), graph.limits.walk_hops if hops is None else hops)
     return reached.groupBy(F.col("node").alias("hid")).agg(F.min(F.struct("hop", F.col("seed").alias("root"))).alias("m")).select(F.col("m.root").alias("root"), "hid", F.col("m.hop").alias("hop"))
 
 

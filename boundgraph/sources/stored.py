@@ -12,6 +12,9 @@ from ..model import EDGE_SCHEMA, EDGE_TAG, NODE_SCHEMA, RESERVED_TAGS, Graph, Gr
 #: The properties of edges and rules in lines between bars, in order.
 FIXED = {"EDG": ["id", "src", "relation", "dist", "at", "attrs", "recycle"], "LAW": ["id", "name", "cycle", "mechanism", "constraint"]}
 
+#: Lines of a schema at most: the driver holds it.
+SCHEMA_LINES = 10_000
+
 
 def load(spark: SparkSession, path: str, version: int, limits: Limits | None = None) -> Graph:
     """A saved version; its tags and relations are folders, so filters on them skip files."""
@@ -37,12 +40,15 @@ def split(rows: DataFrame, limits: Limits | None = None) -> Graph:
 
 
 def _schema_lines(lines: DataFrame, fixed_too: bool = False) -> dict[str, list[str]]:
-    """Fields by tag from ``SCHEMA TAG ; fields=a b`` and ``@TAG: a|b`` lines of a schema, which are few.
+    """Fields by tag from ``SCHEMA TAG ; fields=a b`` and ``@TAG: a|b`` lines of a schema.
 
-    The fixed tags keep their own fields unless ``fixed_too``.
+    The fixed tags keep their own fields unless ``fixed_too``.  ``limit_exceeded`` beyond ``SCHEMA_LINES`` lines.
     """
     out = dict(FIXED)
-    for (line,) in lines.select("value").limit(10_000).collect():
+    found = lines.select("value").limit(SCHEMA_LINES + 1).collect()
+    if len(found) > SCHEMA_LINES:
+        raise GraphError("limit_exceeded", f"more than {SCHEMA_LINES} lines of schema")
+    for (line,) in found:
         tag, fields = (line[7:].split(" ; fields=", 1)[0].strip(), line.split(" ; fields=", 1)[1].split()) if line.startswith("SCHEMA ") else (line[1:].split(":", 1)[0].strip(), line.split(":", 1)[1].strip().split("|"))
         if tag in RESERVED_TAGS:
             raise GraphError("reserved_tag", tag)

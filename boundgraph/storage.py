@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none, as in local tests, a temporary folder of
-    this machine is set for the session and used.
+    Only where the session names none and runs in this process, as in local tests, a temporary
+    folder of this machine is set for the session and used.  A cluster without a shared folder is
+    refused: executors would write to disks that nobody else reads.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="boundgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing else uses; what is there goes when the application ends."""
+    context = spark.sparkContext
+    own = f"{shared_dir(spark)}/boundgraph-{context.applicationId}"
+    if own not in _OWN:
+        folder = context._jvm.org.apache.hadoop.fs.Path(own)
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _OWN.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
