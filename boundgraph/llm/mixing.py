@@ -12,7 +12,8 @@ metric in which a document weighs as many tokens as it has, the gradient is the
 all documents of a cell, and its Lipschitz constant is 1 (the posteriors sum to 1), so the
 step needs no search.
 
-A step is one aggregation of as many numbers as there are domains.  The rates after a
+A step is one aggregation of as many numbers as there are domains; momentum, which begins anew
+where it overshoots, keeps them few.  The rates after a
 number of steps follow from a posterior and the residuals of those steps, so every row has
 its rate without a join; every ``KEPT_STEPS`` steps the cells are stored with their rates, so
 the steps' plans stay small.
@@ -21,6 +22,7 @@ the steps' plans stay small.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,12 +34,14 @@ from .shared import materialise
 MOST_DOMAINS = 256
 #: Hashed words of the classifier, and labelled documents that it is fitted on at most, drawn by hash of the id.
 BUCKETS, FITTED = 4096, 20000
+#: Labelled documents that a bucket is in at least, and deviations of its chi-square from chance, for it to count.
+LEAST, SIGMAS = 5, 5.0
 #: Additive smoothing of the classifier; factors that the evidence of a text's words may get.
-SMOOTHING, FACTORS = 0.5, (0.0, 0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2)
+SMOOTHING, FACTORS = 0.5, (0.0, 0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4)
 #: Steps that posteriors are rounded to, at least.
 GRAIN = 64
-#: Pull of the rates towards 1, steps at most, and the relative error that ends them.
-PULL, STEPS, CLOSE = 1e-6, 100, 1e-4
+#: Pull of the rates towards 1, steps at most, the relative error that ends them, and as many steps without any gain.
+PULL, STEPS, CLOSE, STILL = 1e-6, 100, 1e-3, 8
 #: Steps after which the cells are stored with their rates.
 KEPT_STEPS = 16
 METADATA = ("lang", "size")
@@ -80,12 +84,12 @@ def _times(a: Column, factor: float) -> Column:
 
 @dataclass
 class Classifier:
-    """Logarithms: ``prior`` of each domain, ``meta[feature][value]`` and, one after the other, ``words`` of each bucket; ``factor`` weighs the words."""
+    """Logarithms: ``prior`` of each domain, ``meta[feature][value]`` and ``words`` of each bucket that tells something; ``factor`` weighs the words."""
 
     domains: list[str]
     prior: list[float]
     meta: dict[str, dict[str, list[float]]]
-    words: list[float]
+    words: dict[int, list[float]]
     factor: float
 
     def base(self, of: dict[str, Column]) -> Column:
@@ -100,25 +104,32 @@ class Classifier:
         return out
 
     def evidence(self, of: dict[str, Column]) -> Column:
-        """What the words say, over the square root of their number."""
-        k = len(self.domains)
-        table = _numbers(self.words)
-        summed = F.aggregate(of["buckets"], _numbers([0.0] * k), lambda s, b: _added(s, F.slice(table, b * k + 1, F.lit(k))))
-        return F.transform(summed, lambda x: x / F.sqrt(F.greatest(F.size(of["buckets"]), F.lit(1))))
+        """What the words that tell something say, over the square root of their number."""
+        k, kept = len(self.domains), sorted(self.words)
+        at = {b: i + 1 for i, b in enumerate(kept)}
+        place = F.split(F.lit(",".join(str(at.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")
+        table = _numbers([x for b in kept for x in self.words[b]])
+        told = F.filter(F.transform(of["buckets"], lambda b: F.get(place, b)), lambda i: i > 0)
+        summed = lambda t: F.aggregate(t, _numbers([0.0] * k), lambda s, i: _added(s, F.slice(table, (i - 1) * k + 1, F.lit(k))))
+        return _once(told, lambda t: F.transform(summed(t), lambda x: x / F.sqrt(F.greatest(F.size(t), F.lit(1)))))
 
     def scores(self, of: dict[str, Column]) -> Column:
         """Logarithms of the posterior, but for a constant."""
         return _added(self.base(of), _times(self.evidence(of), self.factor)) if self.factor else self.base(of)
 
 
-def softmax(log_p: Column) -> Column:
-    """Of a column that exists: its name stands here several times."""
-    total = F.aggregate(log_p, F.lit(0.0), lambda s, b: s + F.exp(b))
-    return F.transform(log_p, lambda a: F.exp(a) / total)
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
 
+def _scaled(a: Column) -> Column:
+    """An array over its sum."""
+    return _once(a, lambda x: _once(F.aggregate(x, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(x, lambda y: y / total)))
 
-def _highest_zero(log_p: Column) -> Column:
-    return F.transform(log_p, lambda a: a - F.array_max(log_p))
+
+def softmax(log_p: Column) -> Column:
+    return _scaled(_once(log_p, lambda a: _once(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))))
 
 
 def fit_classifier(labelled: DataFrame, domains: list[str]) -> Classifier:
@@ -141,39 +152,49 @@ def fit_classifier(labelled: DataFrame, domains: list[str]) -> Classifier:
         known = counts[f]
         whole = [sum(v.get(k, 0) for v in known.values()) + SMOOTHING * (len(known) + 1) for k in range(n_k)]
         meta[f] = {v: [math.log((n.get(k, 0) + SMOOTHING) / whole[k]) for k in range(n_k)] for v, n in known.items()}
-    table: list[float] = []
-    for b in range(BUCKETS):
-        seen = counts["buckets"].get(str(b), {})
-        own = [math.log((seen.get(k, 0) + SMOOTHING) / (total[k] + 2 * SMOOTHING)) for k in range(n_k)]
-        mean = sum(own) / n_k
-        table += [x - mean if seen else 0.0 for x in own]
+    table, n = {}, sum(total)
+    spread = (n_k - 1) + SIGMAS * math.sqrt(2 * (n_k - 1))
+    for v, seen in counts["buckets"].items():
+        of_all = sum(seen.values())
+        expected = [of_all * t / n for t in total]
+        if of_all >= LEAST and sum((seen.get(k, 0) - e) ** 2 / e for k, e in enumerate(expected) if e > 0) > spread:
+            own = [math.log((seen.get(k, 0) + SMOOTHING) / (total[k] + 2 * SMOOTHING)) for k in range(n_k)]
+            table[int(v)] = [x - sum(own) / n_k for x in own]
     model = Classifier(domains, prior, meta, table, 0.0)
-    if split and n_k > 1:
+    if split and table:
         of = {f: F.col(f) for f in (*METADATA, "buckets")}
         held = labelled.where("fold = 0").select("k", model.base(of).alias("base"), model.evidence(of).alias("said"))
         weighed = held.select("k", *(_added(F.col("base"), _times(F.col("said"), w)).alias(f"w{i}") for i, w in enumerate(FACTORS)))
-        level = weighed.select("k", *(_highest_zero(F.col(f"w{i}")).alias(f"w{i}") for i in range(len(FACTORS))))
-        likely = level.select(*(F.log(F.greatest(F.get(softmax(F.col(f"w{i}")), F.col("k")), F.lit(1e-12))).alias(f"w{i}") for i in range(len(FACTORS))))
+        likely = weighed.select(*(F.log(F.greatest(F.get(softmax(F.col(f"w{i}")), F.col("k")), F.lit(1e-12))).alias(f"w{i}") for i in range(len(FACTORS))))
         found = likely.agg(*(F.avg(f"w{i}").alias(f"w{i}") for i in range(len(FACTORS)))).first()
         model.factor = max((found[f"w{i}"], -w, w) for i, w in enumerate(FACTORS))[2]
     return model
 
 
-def rate_after(residuals: list[list[float]], rate: str | None = None, step: float = 1 / (1 + PULL), pull: float = PULL) -> Column:
-    """The rate for the posterior ``p``, from 1 or the column ``rate``, after gradient steps with these scaled residuals, each projected to what is not negative."""
-    start = F.lit(1.0) if rate is None else F.col(rate)
-    if not residuals:
-        return start
-    past = F.expr("array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in r) + ")" for r in residuals) + ")")
+Step = tuple[float, list[float]]
+
+
+def rate_after(steps: list[Step], start: str | None = None, step: float = 1 / (1 + PULL), pull: float = PULL) -> tuple[Column, Column]:
+    """The rate for the posterior ``p`` after gradient steps, and the rate before the last of them.
+
+    Both begin at 1, or at the columns ``start`` and ``start_before``.  Every step has a momentum and the scaled
+    residuals where that leads to: from there it goes against the gradient, and what is negative becomes 0.
+    """
+    first = (F.lit(1.0), F.lit(1.0)) if start is None else (F.col(start), F.col(f"{start}_before"))
+    if not steps:
+        return first
+    past = F.expr("array(" + ", ".join("named_struct('m', " + f"{m!r}D" + ", 'r', array(" + ", ".join(f"{v!r}D" for v in r) + "))" for m, r in steps) + ")")
     along = lambda r: F.aggregate(F.zip_with("p", r, lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
-    return F.aggregate(past, start, lambda x, r: F.greatest(F.lit(0.0), x - step * (along(r) + pull * (x - 1))))
+    moved = lambda y, r: F.greatest(F.lit(0.0), y - step * (along(r) + pull * (y - 1)))
+    both = F.aggregate(past, F.struct(first[0].alias("x"), first[1].alias("before")), lambda at, s: F.struct(_once(at["x"] + s["m"] * (at["x"] - at["before"]), lambda y: moved(y, s["r"])).alias("x"), at["x"].alias("before")))
+    return both["x"], both["before"]
 
 
 @dataclass
 class Fit:
-    """The scaled residuals of every step, from which rates follow; by domain, the targets and what the rates reach, as shares of all tokens."""
+    """The steps, from which rates follow; by domain, the targets and what the rates reach, as shares of all tokens."""
 
-    residuals: list[list[float]]
+    steps: list[Step]
     targets: dict[str, float]
     reached: dict[str, float]
 
@@ -183,7 +204,8 @@ def fit_rates(cells: DataFrame, domains: list[str], weights: dict[str, float] |
 
     ``weights``: the share of all tokens that each domain is to have (scaled to sum to 1), or a
     power: each domain's present expected share to that power, scaled.  Domains that no cell can
-    belong to, and an empty table, are left as they are.
+    belong to, and an empty table, are left as they are.  The descent ends when all targets are
+    met, when it gains no more, or after ``steps`` steps; what it has come to is in ``reached``.
     """
 
     def totals(rows: DataFrame, rate: Column) -> list[float]:
@@ -199,20 +221,29 @@ def fit_rates(cells: DataFrame, domains: list[str], weights: dict[str, float] |
     if not sum(raw) > 0:
         raise ValueError("the targets' weights sum to nothing")
     target = [r / sum(raw) for r in raw]
-    stored = cells.select("tokens", "p", F.lit(1.0).alias("rate"))
-    every: list[list[float]] = []
-    since: list[list[float]] = []
-    reached, before = share, None
-    while len(every) < steps and any(abs(a - t) > CLOSE * max(t, CLOSE) for a, t, s in zip(reached, target, share, strict=True) if s > 0):
-        residual = [(a - t) / s if s > 0 else 0.0 for a, t, s in zip(reached, target, share, strict=True)]
-        if before is not None and all(abs(a - b) <= 1e-5 * max(abs(a), CLOSE) for a, b in zip(residual, before, strict=True)):
-            break  # no nearer: the posteriors do not allow it
-        before = residual
-        every.append(residual)
-        since.append(residual)
-        reached = [v / whole for v in totals(stored, rate_after(since, "rate"))]
+    stored = cells.select("tokens", "p", F.lit(1.0).alias("rate"), F.lit(1.0).alias("rate_before"))
+    every: list[Step] = []
+    since: list[Step] = []
+    worst = lambda a: max((abs(x - t) / max(t, CLOSE) for x, t, s in zip(a, target, share, strict=True) if s > 0), default=0.0)
+    ahead, speed, momentum, still, least, before_gap = share, 0, 0.0, 0, math.inf, math.inf
+    while len(every) < steps and worst(ahead) > CLOSE and still < STILL:
+        gap = sum((a - t) ** 2 / s for a, t, s in zip(ahead, target, share, strict=True) if s > 0)
+        if gap > before_gap:
+            speed = 0  # it has overshot: momentum begins anew
+        still, before_gap = (still + 1 if gap > 0.99 * least else 0), gap
+        least = min(least, gap)
+        residual = [(a - t) / s if s > 0 else 0.0 for a, t, s in zip(ahead, target, share, strict=True)]
+        every.append((momentum, residual))
+        since.append((momentum, residual))
         if len(since) == KEPT_STEPS:
-            stored, since = materialise(stored.select("tokens", "p", rate_after(since, "rate").alias("rate")), "cells"), []
+            rate, before = rate_after(since, "rate")
+            stored, since = materialise(stored.select("tokens", "p", rate.alias("rate"), before.alias("rate_before")), "cells"), []
+        speed += 1
+        momentum = (speed - 1) / (speed + 2)
+        rate, before = rate_after(since, "rate")
+        ahead = [v / whole for v in totals(stored.select("tokens", "p", rate.alias("x"), before.alias("x_before")), F.col("x") + momentum * (F.col("x") - F.col("x_before")))]
+    rate, _ = rate_after(since, "rate")
+    reached = [v / whole for v in totals(stored, rate)]
     return Fit(every, dict(zip(domains, target, strict=True)), dict(zip(domains, reached, strict=True)))
 
 
@@ -235,9 +266,7 @@ def membership(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", tex
     grain = max(GRAIN, 4 * len(domains))
     scored = (
         docs.withColumns({"__tokens": tokens, **{f"__{f}": c for f, c in own.items()}})
-        .withColumn("__p", model.scores({f: F.col(f"__{f}") for f in own}))
-        .withColumn("__p", _highest_zero(F.col("__p")))
-        .withColumn("__p", F.transform(softmax(F.col("__p")), lambda p: F.round(p * grain).cast("int")))
+        .withColumn("__p", F.transform(softmax(model.scores({f: F.col(f"__{f}") for f in own})), lambda p: F.round(p * grain).cast("int")))
         .drop(*(f"__{f}" for f in own))
     )
     # Rows without an id are spread over keys, which the condition then refuses, instead of all in one task.
@@ -262,11 +291,11 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | float
     * Extra columns stay; columns named like the new ones are replaced.
     """
     seen, domains = membership(docs, labelled, id_col, text_col)
-    share = F.transform("__p", lambda x: x / F.aggregate("__p", F.lit(0), lambda s, y: s + y))
+    share = _scaled(F.col("__p"))
     rate = F.lit(1.0)
     if domains:
         cells = seen.groupBy("__p").agg(F.sum("__tokens").alias("tokens")).select("tokens", share.alias("p"))
-        rate = rate_after(fit_rates(materialise(cells, "cells"), domains, weights).residuals)
+        rate, _ = rate_after(fit_rates(materialise(cells, "cells"), domains, weights).steps)
     drawn = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("mix")), 11) / F.lit(float(2**53))).cast("double")
     tokens_name, rate_name, copies_name = names
     out = seen.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c == "p"}).withColumn("p", share)
