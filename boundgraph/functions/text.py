@@ -95,6 +95,25 @@ def leftover_nick(kind: Column, seed: Column) -> Column:
     return F.concat(F.lit("sn_"), F.lower(kind), F.lit("_"), F.substring(F.sha2(seed.cast("binary"), 256), 1, 16))
 
 
+def without_secret(text: Column, secret: str) -> Column:
+    """A message without a session's name, which is a capability."""
+    return F.replace(text, F.lit(secret), F.lit("<session>")) if secret else text
+
+
+def canonical(json: Column) -> Column:
+    """A JSON value as the text that is stored: strings as they are, null empty, the rest compact."""
+    parsed = F.try_parse_json(json)
+    plain = F.schema_of_variant(parsed)
+    return F.when(parsed.isNull() | (plain == "VOID"), F.lit("")).when(plain == "STRING", F.variant_get(parsed, "$", "string")).otherwise(F.to_json(parsed))
+
+
+def unquoted(text: Column) -> Column:
+    """The value of a quoted literal: the inverse of :func:`quoted`."""
+    inner = F.substr(text, F.lit(2), F.length(text) - 2)
+    pieces = F.transform(F.split(inner, r"\\\\"), lambda p: F.replace(F.replace(F.replace(F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), F.lit("\\t"), F.lit("\t")), F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"')))
+    return F.array_join(pieces, "\\")
+
+
 def phrase(text: Column, limit: int = 80) -> Column:
     """White space collapsed, cut to ``limit`` characters with an ellipsis."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -105,6 +105,40 @@ def _handled(graph: Graph, rows: DataFrame, numbered: DataFrame) -> DataFrame:
     return numbered.join(high, "prefix", "left").withColumn("hid", F.concat("prefix", (F.coalesce("high", F.lit(0)) + F.col("n")).cast("string"))).drop("prefix", "n", "high")
 
 
+def put(graph: Graph, rows: DataFrame, mode: str = "upsert") -> Graph:
+    """Write node ``rows(hid, tag, props)`` by handle, of any size.
+
+    * ``upsert``: properties overlaid on the row that has the handle, or a new row.
+    * ``add``: new rows only, ``id_conflict`` if a handle is taken.
+    * ``replace``: rows that are there get exactly these properties, ``not_found`` if one is not.
+
+    ``tag_conflict`` if a handle stands under another tag, ``duplicate_row`` if one is given twice.
+    """
+    if mode not in ("upsert", "add", "replace"):
+        raise GraphError("bad_mode", mode)
+    rows = rows.select("hid", F.upper("tag").alias("tag"), "props")
+    check(graph, rows)
+    if not rows.groupBy("hid").count().where("count > 1").isEmpty():
+        raise GraphError("duplicate_row", "a handle is given twice")
+    new = rows.select("hid", F.col("tag").alias("tag_new"), F.col("props").alias("patch"))
+    met = materialise(graph.nodes.select("hid", "tag").join(new, "hid"), "met")
+    if not met.where("tag <> tag_new").isEmpty():
+        raise GraphError("tag_conflict", "a handle stands under another tag")
+    if mode == "add" and not met.isEmpty():
+        raise GraphError("id_conflict", "a handle is taken")
+    if mode == "replace" and not new.join(met.select("hid"), "hid", "left_anti").isEmpty():
+        raise GraphError("not_found", "a handle is not there")
+    text = F.col("patch") if mode == "replace" else P.overlaid("props", "patch")
+    kept = graph.nodes.join(met.select("hid", "patch"), "hid", "left").select("hid", "tag", F.when(F.col("patch").isNull(), F.col("props")).otherwise(text).alias("props"))
+    return graph.after(nodes=kept.union(rows.join(met.select("hid"), "hid", "left_anti").select("hid", "tag", "props")))
+
+
+def delete_rows(graph: Graph, rows: DataFrame) -> Graph:
+    """Remove nodes and edges by handle, ``rows(hid)``; edges of a removed node stay and dangle."""
+    gone = rows.select("hid").distinct()
+    return graph.after(nodes=graph.nodes.join(gone, "hid", "left_anti"), edges=graph.edges.join(gone, "hid", "left_anti"))
+
+
 def create_nodes(graph: Graph, rows: DataFrame, declared: Mapping[str, list[str]] | None = None) -> Graph:
     """Add ``rows(tag, props)``; handles are the tag and a number."""
     rows = _bounded(graph, rows.withColumn("tag", F.upper("tag")))

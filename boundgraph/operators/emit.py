@@ -25,6 +25,16 @@ def edge_lines(graph: Graph, edges: DataFrame | None = None) -> DataFrame:
     return rows.select("hid", F.concat(end("src"), middle, end("dist")).alias("line"))
 
 
+def create_lines(graph: Graph, edges: DataFrame | None = None) -> DataFrame:
+    """``(part, hid, line)``: rows as statements that would make them, nodes (0) before edges (1); edges name their ends by nickname."""
+    nodes = graph.nodes.select(F.lit(0).alias("part"), "hid", F.concat(F.lit("CREATE "), T.shaped_node(F.col("tag"), T.shown())).alias("line"))
+    rows = endpoints(graph, graph.edges if edges is None else edges)
+    pairs = T.shown()
+    end = lambda v, side: F.concat(F.lit(f"({v}:"), F.col(f"{side}_tag"), F.lit(" {id: "), T.literal(F.coalesce(f"{side}_nick", side)), F.lit("})"))
+    line = F.concat(F.lit("MATCH "), end("a", "src"), F.lit(", "), end("b", "dist"), F.lit(" CREATE (a)-[:"), F.col("relation"), F.when(F.size(pairs) > 0, F.lit(" ")).otherwise(""), T.braces(pairs), F.lit("]->(b)"))
+    return nodes.union(rows.select(F.lit(1), "hid", line))
+
+
 def schema_of(graph: Graph) -> dict[str, list[str]]:
     """The properties in use by tag, nickname and handle first; edges go on with their ends."""
     found = records(graph).select("tag", F.explode(F.map_keys("props")).alias("key")).distinct().groupBy("tag").agg(F.array_sort(F.collect_list("key")).alias("keys"))
@@ -81,12 +91,17 @@ def clipped(lines: DataFrame, max_bytes: int, order: str = "position") -> DataFr
 
 
 def pack_lines(graph: Graph, pack: DataFrame) -> DataFrame:
-    """``(pack, position, line)``: the rows of packs as shaped lines; edges show ports and what they carry only."""
+    """``(pack, position, line)``: the rows of packs as shaped lines.
+
+    Edges show ports and what they carry only, between both ends with all their properties.
+    """
     nodes = pack.where("part <> 'edge'").select("pack", "position", T.shaped_node(F.col("tag"), T.shown(with_nickname=False)).alias("line"))
-    edges = endpoints(graph, pack.where("part = 'edge'").select("pack", "position", "hid").join(graph.edges, "hid"))
+    edges = pack.where("part = 'edge'").select("pack", "position", "hid").join(graph.edges, "hid")
+    ends = graph.nodes.select(F.col("hid").alias("end"), T.shaped_node(F.col("tag"), T.shown(with_nickname=False)).alias("shaped"))
+    for side in ("src", "dist"):
+        edges = edges.join(ends.withColumnsRenamed({"end": side, "shaped": f"{side}_line"}), side, "left").withColumn(f"{side}_line", F.coalesce(f"{side}_line", F.lit("(:NODE)")))
     pairs = F.filter(T.shown(with_nickname=False), lambda p: p["key"].isin("fromPort", "toPort", "carries"))
-    label = lambda side: F.concat(F.lit("(:"), F.col(f"{side}_tag"), F.lit(")"))
-    line = F.concat(label("src"), F.lit("-[:"), F.col("relation"), F.when(F.size(pairs) > 0, F.lit(" ")).otherwise(""), T.braces(pairs), F.lit("]->"), label("dist"))
+    line = F.concat(F.col("src_line"), F.lit("-[:"), F.col("relation"), F.when(F.size(pairs) > 0, F.lit(" ")).otherwise(""), T.braces(pairs), F.lit("]->"), F.col("dist_line"))
     return nodes.union(edges.select("pack", "position", line))
 
 

@@ -73,9 +73,10 @@ def list_records(graph: Graph, tag: str | None = None, active_only: bool = False
     return out
 
 
-def match_nodes(graph: Graph, tag: str | None = None, props: Mapping[str, str] | None = None) -> DataFrame:
-    """Nodes, rules included, of a tag with all of these properties."""
-    out = graph.nodes.where(F.col("tag") == tag.upper()) if tag else graph.nodes
+def match_nodes(graph: Graph, tag: str | None = None, props: Mapping[str, str] | None = None, pending: DataFrame | None = None) -> DataFrame:
+    """Nodes, rules included, of a tag with all of these properties; also among ``pending(hid, tag, props)``, which are not written yet."""
+    out = graph.nodes if pending is None else graph.nodes.select("hid", "tag", "props").union(pending.select("hid", "tag", "props"))
+    out = out.where(F.col("tag") == tag.upper()) if tag else out
     for key, text in (props or {}).items():
         out = out.where(P.equals(key, text))
     return out

@@ -120,12 +120,12 @@ def neighbours(graph: Graph, seeds: DataFrame, depth: int = 1, fanout: int | Non
     return spread(start, clamped(graph, fanout), min(depth, graph.limits.depth), within=known, crossed=crossed)
 
 
-def context_pack(graph: Graph, anchors: DataFrame, depth: int = 2, max_rows: int | None = None, active_only: bool = False, law_prepend: bool = True) -> DataFrame:
+def context_pack(graph: Graph, anchors: DataFrame, depth: int = 2, max_rows: int | None = None, active_only: bool = False, law_prepend: bool = True, notes: list[DataFrame] | None = None) -> DataFrame:
     """``(pack, position, part, hid, tag, props)``: rules, then seeds, other nodes and edges around the anchors of each pack.
 
     ``anchors(pack, node)``.  The neighbourhoods of a pack's anchors are united; rows that may go
     are left out after the walk, not during it; ``max_rows`` counts seeds, nodes and edges together
-    and rules stand before it.
+    and rules stand before it.  ``notes`` gathers ``(pack, offered, kept)`` of the packs that this cuts.
     """
     most = graph.limits.rows if max_rows is None else max_rows
     seen: list[DataFrame] = []
@@ -142,6 +142,9 @@ def context_pack(graph: Graph, anchors: DataFrame, depth: int = 2, max_rows: int
     for side in ("src", "dist"):
         rows = rows.join(ends.withColumnsRenamed({"end": side, "k": f"{side}_key"}), side, "left").withColumn(f"{side}_key", F.coalesce(f"{side}_key", none))
     rows = rows.drop("src", "dist").unionByName(nodes.withColumns({"src_key": none, "dist_key": none}))
+    if notes is not None:
+        sizes = rows.groupBy("pack").agg(F.count(F.lit(1)).alias("offered"))
+        notes.append(sizes.where(F.col("offered") > most).select("pack", "offered", F.lit(most).cast("long").alias("kept")))
     order = [F.col("part"), F.col("tag"), F.col("relation"), F.col("src_key"), F.col("dist_key"), P.payload(), F.col("hid")]
     kept = rows.withColumn("position", F.row_number().over(Window.partitionBy("pack").orderBy(*order))).where(F.col("position") <= most)
     parts = F.element_at(F.array(*map(F.lit, ("seed", "node", "edge"))), F.col("part") + 1)

@@ -1,0 +1,3 @@
+"""The registered queries."""
+
+from . import answers, catalogue  # noqa: F401

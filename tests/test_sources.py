@@ -57,6 +57,14 @@ def test_pipe_lines(spark, tmp_path):
         assert refused.value.code == code
 
 
+def test_too_many_lines_of_schema_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "SCHEMA_LINES", 1)
+    (tmp_path / "map.txt").write_text("SCHEMA PRT ; fields=id name\n@tsk: id|goal\n")
+    with pytest.raises(GraphError) as refused:
+        stored.schema_map(spark, f"{tmp_path}/map.txt")
+    assert refused.value.code == "limit_exceeded"
+
+
 def test_byte_cut(spark):
     lines = spark.createDataFrame([(1, "aaa"), (2, "bbb"), (3, "c")], "position int, line string")
     assert [r["line"] for r in emit.clipped(lines, 8).orderBy("position").collect()] == ["aaa", "bbb"]
@@ -66,7 +74,10 @@ def test_pack_lines(spark):
     g = from_rows(spark, NODES, EDGES)
     pack = walks.context_pack(g, spark.createDataFrame([("p", "h1")], "pack string, node string"), 1)
     lines = [r["line"] for r in emit.pack_lines(g, pack).orderBy("position").collect()]
-    assert lines == ["(:LAW {constraint: '*'})", "(:PRT {name: 'a|b', text: 'two\\nlines'})", "(:PRT {name: 'é ☃ 😀 \\\\n'})", "(:PRT)-[:uses]->(:PRT)"]
+    assert lines == ["(:LAW {constraint: '*'})", "(:PRT {name: 'a|b', text: 'two\\nlines'})", "(:PRT {name: 'é ☃ 😀 \\\\n'})", "(:PRT {name: 'a|b', text: 'two\\nlines'})-[:uses]->(:PRT {name: 'é ☃ 😀 \\\\n'})"]
+    loose = from_rows(spark, NODES[:1], [("e1", "uses", "h1", "gone", {"carries": "5", "note": "x"})])
+    alone = spark.createDataFrame([("p", 1, "edge", "e1", "EDG", {})], "pack string, position int, part string, hid string, tag string, props map<string,string>")
+    assert emit.pack_lines(loose, alone).first()["line"] == "(:PRT {name: 'a|b', text: 'two\\nlines'})-[:uses {carries: 5}]->(:NODE)"
     assert state(merging.slice_of(g, pack))[1] == state(g)[1]
 
 
