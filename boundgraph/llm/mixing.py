@@ -261,7 +261,8 @@ def membership(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", tex
     known = named.select("id", number.alias("k"))
     drawn = known.orderBy(F.xxhash64("id"), "id").limit(FITTED).withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4)))
     own = features(docs, text_col)
-    fitted = docs.select(F.col(id_col).cast("long").alias("id"), *(c.alias(f) for f, c in own.items())).join(F.broadcast(drawn), "id").select("k", "fold", *own)
+    chosen = drawn.select(F.col("id").alias("__id"), F.col("k").alias("__k"), F.col("fold").alias("__fold"))  # FITTED rows at most
+    fitted = docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("__id")).select(F.col("__k").alias("k"), F.col("__fold").alias("fold"), *(c.alias(f) for f, c in own.items()))
     model = fit_classifier(materialise(fitted, "labelled"), domains)
     grain = max(GRAIN, 4 * len(domains))
     scored = (
