@@ -39,7 +39,7 @@ _TRIGGER = re.compile("[0-9@]")
 _DIGITS = re.compile("[0-9]")
 #: At-signs beyond ASCII, which are read as @; the rest of an address from a spelled at-sign on, and its first part's characters.
 _ATS = {0xFF20: "@", 0xFE6B: "@"}
-_SPELLED = re.compile(r"(?=( ?(?:[\uFF20\uFE6B]|[(\[{] ?at ?[)\]}]| at ) ?[\w-]++(?: ?(?:\.|[(\[{] ?dot ?[)\]}]| dot ) ?[\w-]++)+))")
+_SPELLED = re.compile(r"(?=( ?(?:[\uFF20\uFE6B]|[(\[{] ?at ?[)\]}]| at ) ?[\w-]++(?:(?:\.| \. | ?[(\[{] ?dot ?[)\]}] ?| dot )[\w-]++)+))")
 _USER = re.compile(r"[\w.%+-]")
 
 
@@ -79,9 +79,14 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def windows(text: str) -> np.ndarray:
-    """Starts of the windows to read; a multiple of half a window each, so that they overlap by half."""
+def windows(text: str, everywhere: bool = False) -> np.ndarray:
+    """Starts of the windows to read; a multiple of half a window each, so that they overlap by half.
+
+    With ``everywhere`` they cover the whole text, not only where something stands that a span needs.
+    """
     half = WINDOW // 2
+    if everywhere:
+        return np.arange(-1, len(text) // half + 1) * half
     at = np.flatnonzero(_is_trigger(text))
     if not len(at):
         return at
@@ -121,7 +126,7 @@ def _valid(kind: str, text: str) -> bool:
     """Whether what the tagger marked can be read as this kind at all."""
     digits = "".join(_DIGITS.findall(text))
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+ ?(?:[@\uFF20\uFE6B]|[(\[{] ?at ?[)\]}]| at ) ?[\w-]+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]| dot ) ?[\w-]+)+", text))
+        return bool(re.fullmatch(r"[\w.%+-]+ ?(?:[@\uFF20\uFE6B]|[(\[{] ?at ?[)\]}]| at ) ?[\w-]+(?:(?:\.| \. | ?[(\[{] ?dot ?[)\]}] ?| dot )[\w-]+)+", text))
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(map(_small, parts)) and not re.search("[A-Za-z]", text)
@@ -130,9 +135,9 @@ def _valid(kind: str, text: str) -> bool:
     return 9 <= len(digits) <= 15 and not re.search(r"[^0-9 ()./+-]", text)
 
 
-def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
+def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger: Tagger, everywhere: bool = False) -> list[list[tuple[str, int, int]]]:
     """Spans of the tagger that no base span overlaps, for every text."""
-    places = [(i, int(s)) for i, text in enumerate(texts) for s in windows(text)]
+    places = [(i, int(s)) for i, text in enumerate(texts) for s in windows(text, everywhere)]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not places:
         return out
@@ -179,11 +184,28 @@ def _card(rng: random.Random) -> str:
     return next(d for x in "0123456789" if _luhn(d := digits + x))
 
 
+def _name(rng: random.Random) -> str:
+    """A short made-up word."""
+    return "".join(rng.choice("bcdfghjklmnprstvw") + rng.choice("aeiou") + rng.choice(["", "", "n", "r", "s", "y"]) for _ in range(rng.randint(1, 3)))
+
+
+def _user(rng: random.Random) -> str:
+    if rng.random() < 0.5:
+        return "".join(rng.choices("abcdefghijklmnop.0123456789_", k=rng.randint(3, 10))).strip(".") or "me"
+    return _name(rng) + rng.choice(["", "", f".{_name(rng)}", f"_{_name(rng)}", f"-{_name(rng)}"])
+
+
+def _host(rng: random.Random) -> str:
+    label = lambda: rng.choice([_name(rng), _name(rng), "example", "site", "web", "mail", f"mail{rng.randint(0, 9)}"])
+    return ".".join([*(label() for _ in range(rng.randint(1, 2))), rng.choice(["com", "org", "net", "de", "io", "edu"])])
+
+
 def _written(kind: str, span: str | None, rng: random.Random) -> str:
     """A span of a kind, drawn anew or ``span`` itself written in another way."""
     if kind == "email":
-        user, host = (span.split("@", 1) if span else ("".join(rng.choices("abcdefghijklmnop.0123456789_", k=rng.randint(3, 10))).strip(".") or "me", f"mail{rng.randint(0, 9)}.{rng.choice(['example', 'site', 'web'])}.{rng.choice(['com', 'org', 'net', 'de'])}"))
-        return rng.choice([f"{user}@{host}"] * 3 + [f"{user} @ {host}", f"{user}(at){host}", f"{user} [at] {host}", f"{user} at {host.replace('.', ' dot ')}"])
+        user, host = span.split("@", 1) if span else (_user(rng), _host(rng))
+        spelled = host.replace(".", rng.choice([" dot ", " [dot] ", "(dot)"]))
+        return rng.choice([f"{user}@{host}"] * 2 + [f"{user} @ {host}", f"{user}(at){host}", f"{user} [at] {host}"] + [f"{user} at {host.replace('.', ' dot ')}"] * 2 + [f"{user} (at) {spelled}", f"{user} [at] {spelled}"])
     if kind == "ip":
         parts = span.split(".") if span else [str(rng.randint(1, 255)) for _ in range(4)]
         return rng.choice([".".join(parts)] * 4 + [" . ".join(parts), "[.]".join(parts)])
@@ -195,7 +217,10 @@ def _written(kind: str, span: str | None, rng: random.Random) -> str:
 
 
 def _like(rng: random.Random) -> str:
-    """Something with digits or an at-sign that is nobody's data."""
+    """Something with digits, an at-sign or the word at that is nobody's data."""
+    if rng.random() < 0.25:
+        end = rng.choice([". ", ".\n", ", ", " "])
+        return f"{_name(rng)} {rng.choice(['at', 'at', 'at the', 'looked at'])} {_name(rng)}{end}{rng.choice([_name(rng), _name(rng).capitalize()])} {_name(rng)}"
     hexa = "".join(rng.choices("0123456789abcdef", k=rng.randint(12, 40)))
     return rng.choice([f"password={hexa}", f'token = "{hexa}"', "AKIA" + "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ234567", k=16)), f"Version {rng.randint(1, 9)}.{rng.randint(0, 9)}", f"{rng.randint(1900, 2030)}", f"{rng.randint(0, 999)},{rng.randint(0, 999):03}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1900, 2030)}", f"@{''.join(rng.choices('abcdef', k=5))}", f"CC BY-NC {rng.randint(1, 4)}.0", f"{rng.randint(0, 99)}%", hexa, f"{rng.randint(0, 10**8)}", f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"])
 
