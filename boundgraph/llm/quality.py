@@ -269,7 +269,7 @@ class _Weights(dict):
         self.w = w
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = out = float(self.w[word_hash(word)])
         return out
@@ -307,6 +307,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, names: dict[str
                 part = batch.slice(at, 1024)
                 p_text, p_meta, both = scorer(*(part.column(i).to_pylist() for i in range(1, 5)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p_text), pa.array(p_meta), pa.array(both), pa.array(both >= threshold)], names=["id", "p_text", "p_meta", "score", "keep"])
+        del scorer
+        release()
 
     return _columns(docs, names or {"id": "doc_id"}).mapInArrow(run, "id long, p_text double, p_meta double, score double, keep boolean")
 
@@ -323,5 +325,7 @@ def kept(docs: DataFrame, model: Model, threshold: float = 0.5, names: dict[str,
                 part = batch.slice(at, 1024)
                 columns = [part.column(i).to_pylist() if i is not None else [None] * part.num_rows for i in place]
                 yield part.filter(pa.array(scorer(*columns)[2] >= threshold))
+        del scorer
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialise
+from .shared import connected_components, materialise, release
 
 SEED = 42
 #: Unrelated fingerprints that a bucket is to hold at most.
@@ -37,9 +37,9 @@ CROWD = 256
 #: Fingerprints that one block of a bucket holds; a larger bucket is split into blocks that meet in pairs.
 BLOCK = 2048
 #: Shingles of a family of texts that one task holds against each other; a larger family is split like a bucket.
-GRAMS = 1 << 19
+GRAMS = 1 << 18
 #: Pairs that are looked at in one vectorised step.
-STEP = 2_000_000
+STEP = 500_000
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -112,6 +112,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str
                 part = batch.slice(at, 512)
                 found = np.array([row(t) for t in part.column(1).to_pylist()], dtype=np.uint64).reshape(-1, len(names))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(found[:, n]).view(np.int64)) for n in range(len(names)))], names=["id", *names])
+        release()  # a task's memory goes back before the next stage needs it
 
     schema = "id long, " + ", ".join(f"{n} long" for n in names)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
@@ -236,6 +237,7 @@ def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], words: int =
                 digits = (distances(f, pivots) - base + 2) // 2  # -2, 0, 2: how the pivot's bits are set
                 key = digits.astype(np.int64) @ (3 ** np.arange(len(pivots), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), t, dtype=np.int32)), pa.array(key), batch.column("node"), *(batch.column(n) for n in names)], names=["t", "key", "node", *names])
+        release()
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,6 +250,7 @@ def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], words: int =
             root = local_roots(len(ids), ((i, j) for i, j, _ in close_pairs(f, group, max_bits, general)))
             hung = np.flatnonzero(root != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[hung], ids[root[hung]])), pa.array(np.minimum(ids[hung], ids[root[hung]]))], names=["a", "b"])
+        release()
 
     typed = ", ".join(f"{n} long" for n in names)
     keyed = nodes.select("node", *names).mapInArrow(keys, f"t int, key long, node long, {typed}")
@@ -277,6 +280,7 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["id", "family", "grams"])
+        release()
 
     return texts.select("id", "family", "text").mapInArrow(run, "id long, family long, grams array<long>")
 
@@ -343,6 +347,7 @@ def alike(found: DataFrame, docs: DataFrame, similarity: float, shingle: int, id
                 lists = one.column("grams").flatten()
                 i, j = similar_links(lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+        release()
 
     alone = blocks.where("parts = 1").select("id", "grams")
     split = materialise(blocks.where("parts > 1"), "parts")
