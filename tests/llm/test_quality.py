@@ -1,4 +1,6 @@
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -82,3 +84,28 @@ def test_edge_rows(spark):
     assert all(r["keep"] for r in quality.score(docs, model).collect()) and quality.kept(docs, model).count() == 4
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels)).count() == 0
     assert quality.score(docs.select("doc_id", "text"), model).count() == 4
+
+
+def plainly(model, text, lang, source, n_chars):
+    """The score of one document, feature by feature."""
+    words, shape = quality.text_features(text)
+    raw = sum(model.text.w[zlib.crc32(w.encode()) % 2**quality.TEXT_BITS] for w in words) + sum((x - m) / d * v for x, m, d, v in zip(shape, model.text.mean, model.text.deviation, model.text.d, strict=True)) + model.text.b
+    size = int(2 * math.log2(1 + max(n_chars or 0, 0)))
+    named = {zlib.crc32(x.encode()) % 2**quality.META_BITS for x in (f"l:{lang}", f"s:{source}", f"ls:{lang}:{source}", f"n:{size}", f"n3:{size // 3}")}
+    other = sum(model.meta.w[i] for i in named) + (0 - model.meta.mean[0]) / model.meta.deviation[0] * model.meta.d[0] + model.meta.b
+    logits = [model.text.slope * raw + model.text.shift, model.meta.slope * other + model.meta.shift]
+    return 1 / (1 + math.exp(-(logits[0] * model.weights[0] + logits[1] * model.weights[1] + model.bias)))
+
+
+def test_scores_are_those_of_a_plain_sum_and_the_pool_is_unlabelled(spark, monkeypatch):
+    rows = corpus(500, 6)
+    rows += [(900, None, None, None, None, True), (901, "", "en", "any", 0, True), (902, "w1 " * 30000, "en", "any", 90000, True)]
+    docs, labels = frames(spark, rows, 300)
+    drawn, sample = [], quality._sample
+    monkeypatch.setattr(quality, "_sample", lambda rows, ids: drawn.append({r["id"] for r in ids.select("id").collect()}) or sample(rows, ids))
+    model = quality.train(docs, labels)
+    assert drawn[0] == set(range(300)) and drawn[1] == {r[0] for r in rows} - set(range(300))
+    got = {r["id"]: r for r in quality.score(docs, model).collect()}
+    for i, text, lang, source, n_chars, _ in rows:
+        assert abs(got[i]["score"] - plainly(model, text, lang, source, n_chars)) < 1e-6
+        assert got[i]["keep"] == (got[i]["score"] >= 0.5)
