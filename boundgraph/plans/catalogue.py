@@ -721,38 +721,47 @@ def walk_handles(g: Graph) -> DataFrame:
 
 
 def _sources(spark: SparkSession, folder: str) -> DataFrame:
-    """Program texts, one per part: a module with two functions, the second of which calls the first."""
+    """Program texts, one per part: a module with functions and a class; every second one calls the first function once more."""
     parts = spark.read.parquet(f"{folder}/part.parquet")
     key = F.col("p_partkey").cast("string")
-    text = F.concat(F.lit("import os\n\n\ndef first(a, b):\n    return a\n\n\nclass Box:\n    def open(self):\n        return first(1, 2)\n\n\ndef part_"), key, F.lit("():\n    return first(1, 2)\n"))
+    last = F.when(F.col("p_partkey") % 2 == 0, "    return first(1, 2)\n").otherwise("    return 0\n")
+    text = F.concat(F.lit("import os\n\n\ndef first(a, b):\n    return a\n\n\nclass Box:\n    def open(self):\n        return first(1, 2)\n\n\ndef part_"), key, F.lit("():\n"), last)
     return parts.select(F.concat(F.lit("m"), key, F.lit(".py")).alias("path"), text.alias("text"))
 
 
 @query("""
-SELECT t.relation, count(*) * t.n AS n FROM part, (VALUES ('defines', 4), ('owns', 1), ('calls', 2)) t(relation, n) GROUP BY t.relation, t.n""", graph=False)
+WITH p AS (SELECT p_partkey AS k, 'm' || p_partkey || '_py' AS m FROM part)
+SELECT 'defines' AS relation, 'MOD_' || m AS src, 'SYM_' || m || '_' || unnest(['first', 'Box', 'Box_open', 'part_' || k]) AS dist FROM p UNION ALL SELECT 'owns', 'SYM_' || m || '_Box', 'SYM_' || m || '_Box_open' FROM p
+UNION ALL SELECT 'calls', 'SYM_' || m || '_Box_open', 'SYM_' || m || '_first' FROM p UNION ALL SELECT 'calls', 'SYM_' || m || '_part_' || k, 'SYM_' || m || '_first' FROM p WHERE k % 2 = 0""", graph=False)
 def ingest_code(spark: SparkSession, folder: str) -> DataFrame:
     """Relations found in program texts."""
-    return artefacts.code(_sources(spark, folder)).edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    return artefacts.code(_sources(spark, folder)).edges.select("relation", "src", "dist")
 
 
 @query("""
-SELECT 'CMP' AS tag, count(*) AS n FROM part UNION ALL SELECT 'NET', 2 * count(*) FROM part UNION ALL SELECT 'PIN', 2 * count(*) FROM part""", graph=False)
+WITH c AS (SELECT 'c' || p_partkey || '_ato' AS c, unnest(CASE WHEN p_partkey % 2 = 0 THEN ['r1', 'r2'] ELSE ['r1'] END) AS r FROM part)
+SELECT 'owns' AS relation, 'CMP_' || c || '_' || r AS src, 'PIN_' || c || '_' || r || '_' || unnest(['1', '2']) AS dist FROM c
+UNION ALL SELECT 'on_net', 'PIN_' || c || '_' || r || '_1', 'NET_' || c || '_gnd' FROM c UNION ALL SELECT 'on_net', 'PIN_' || c || '_' || r || '_2', 'NET_' || c || '_vcc' FROM c""", graph=False)
 def ingest_circuit(spark: SparkSession, folder: str) -> DataFrame:
-    """Components, nets and pins found in circuit texts, one per part."""
+    """Components, nets and pins found in circuit texts, one per part, with one component or two."""
     parts = spark.read.parquet(f"{folder}/part.parquet")
-    text = F.lit("component Res:\n    pin 1\n    pin 2\n\nmodule Main:\n    signal gnd\n    signal vcc\n    r1 = new Res\n    r1.1 ~ gnd\n    vcc ~ r1.2  # a tie\n")
+    more = F.when(F.col("p_partkey") % 2 == 0, "    r2 = new Res\n    gnd ~ r2.1\n    r2.2 ~ vcc\n").otherwise("")
+    text = F.concat(F.lit("component Res:\n    pin 1\n    pin 2\n\nmodule Main:\n    signal gnd\n    signal vcc\n    r1 = new Res\n    r1.1 ~ gnd\n    vcc ~ r1.2  # a tie\n"), more)
     made = artefacts.circuit(parts.select(F.concat(F.lit("c"), F.col("p_partkey").cast("string"), F.lit(".ato")).alias("path"), text.alias("text")))
-    return made.nodes.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return made.edges.select("relation", "src", "dist")
 
 
 @query("""
-SELECT tag, count(*) AS n FROM (SELECT 'PKG' AS tag FROM supplier UNION ALL SELECT 'PRT' FROM supplier UNION ALL SELECT 'PRT' FROM supplier UNION ALL SELECT 'REQ' FROM supplier) GROUP BY tag""", graph=False)
+WITH s AS (SELECT s_suppkey AS k, 'P' || s_suppkey AS p FROM supplier)
+SELECT 'contains' AS relation, 'PKG_' || p AS src, unnest(['PRT_' || p || '_Base', 'PRT_' || p || '_unit', 'REQ_' || p || '_R'] || CASE WHEN k % 2 = 0 THEN ['PRT_' || p || '_Extra'] ELSE [] END) AS dist FROM s
+UNION ALL SELECT 'typedBy', 'PRT_' || p || '_unit', 'PRT_' || p || '_Base' FROM s UNION ALL SELECT 'satisfies', 'PRT_' || p || '_unit', 'REQ_' || p || '_R' FROM s""", graph=False)
 def ingest_sysml(spark: SparkSession, folder: str) -> DataFrame:
-    """Definitions found in model texts, one per supplier."""
+    """Relations found in model texts, one per supplier; every second one has a part more."""
     key = F.col("s_suppkey").cast("string")
-    text = F.concat(F.lit("package P"), key, F.lit(" {\n  part def Base;\n  part unit : Base { satisfy requirement P::R; }\n  requirement def R { }\n}\n"))
+    more = F.when(F.col("s_suppkey") % 2 == 0, "  part def Extra;\n").otherwise("")
+    text = F.concat(F.lit("package P"), key, F.lit(" {\n  part def Base;\n"), more, F.lit("  part unit : Base { satisfy P"), key, F.lit("::R; }\n  requirement def R { }\n}\n"))
     made = artefacts.sysml(spark.read.parquet(f"{folder}/supplier.parquet").select(F.concat(F.lit("s"), key, F.lit(".sysml")).alias("path"), text.alias("text")))
-    return made.nodes.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return made.edges.select("relation", "src", "dist")
 
 
 @query("""

@@ -140,12 +140,14 @@ def sysml(texts: DataFrame, limits: Limits | None = None) -> Graph:
     defs = found.where("what = 'def'").withColumn("tag", F.element_at(tags, F.col("word"))).withColumn("hid", F.concat("tag", F.lit("_"), F.regexp_replace("qname", r"[^A-Za-z0-9]+", "_"))).withColumn("leaf", leaf(F.col("qname")))
     numbers = found.where("what = 'number'").groupBy("path", "qname").agg(F.min("target").alias("number"))
     known = defs.groupBy("qname").agg(F.min("hid").alias("exact"))
+    by_file = defs.groupBy("path", "leaf").agg(F.min("hid").alias("own"))
     by_leaf = defs.groupBy("leaf").agg(F.min("hid").alias("near"))
 
     def settled(rows: DataFrame) -> DataFrame:
-        """What a name stands for: the thing of that full name, else one whose last part it is."""
+        """What a name stands for: the thing of that full name, else one whose last part it is, of the same file before others."""
         rows = rows.withColumn("leaf", leaf(F.col("target")))
-        return rows.join(known.withColumnRenamed("qname", "target"), "target", "left").join(by_leaf, "leaf", "left").withColumn("dist", F.coalesce("exact", "near"))
+        near = rows.join(known.withColumnRenamed("qname", "target"), "target", "left").join(by_file, ["path", "leaf"], "left").join(by_leaf, "leaf", "left")
+        return near.withColumn("dist", F.coalesce("exact", "own", "near"))
 
     outer = known.withColumnsRenamed({"qname": "inside", "exact": "src"})
     nodes = _nodes(defs.join(numbers, ["path", "qname"], "left"), F.col("tag"), name=F.col("leaf"), qname=F.col("qname"), path=F.col("path"), sysml_kind=F.replace("word", F.lit(" "), F.lit("_")), requirementId=F.col("number"))
