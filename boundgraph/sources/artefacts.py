@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..model import Graph, GraphError, Limits
+from ..storage import materialise
 
 EMPTY = "map<string,string>"
 
@@ -28,6 +29,15 @@ def files(spark: SparkSession, path: str, pattern: str, max_files: int | None =
     return found
 
 
+#: Files that are read in one task.
+FILES_A_TASK = 8192
+
+
+def dealt(texts: DataFrame) -> DataFrame:
+    """Files dealt evenly to tasks, however few files of a table they come from."""
+    return texts.select("path", "text").repartition(1 + texts.count() // FILES_A_TASK, "path")
+
+
 def _nodes(df: DataFrame, tag: str | Column, **props: Column) -> DataFrame:
     pairs = [x for k, v in props.items() for x in (F.lit(k), v)]
     shown = F.map_filter(F.create_map(F.lit("id"), F.col("hid"), *pairs, F.lit("recycle"), F.lit("persistent")), lambda k, v: F.coalesce(v, F.lit("")) != "")
@@ -78,8 +88,10 @@ def _syntax(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def code(texts: DataFrame, limits: Limits | None = None) -> Graph:
     """Modules, and the classes, functions and methods of Python ones: defines, owns, includes, calls."""
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    texts = dealt(texts)
     modules = texts.select(T.slug("MOD", F.col("path")).alias("hid"), "path", stem.alias("stem"))
     found = texts.where(F.endswith("path", F.lit(".py"))).select("path", "text").mapInPandas(_syntax, "path string, what string, name string, kind string, line string, signature string, owner string")
+    found = materialise(found, "syntax")  # every text is parsed once
     symbol = lambda name: T.slug("SYM", F.concat("path", F.lit(":"), name))
     defs = found.where("what = 'def'").withColumn("hid", symbol(F.col("name")))
     local = defs.select("path", F.col("name").alias("signature"), F.col("hid").alias("dist")).distinct()
@@ -171,7 +183,7 @@ def _matches(df: DataFrame, pattern: str, *groups: str) -> DataFrame:
 
 def circuit(texts: DataFrame, limits: Limits | None = None) -> Graph:
     """Components, nets and pins of circuit descriptions: owns, on_net, uses."""
-    clean = texts.select("path", F.regexp_replace("text", r"(?m)#.*$", " ").alias("text"))
+    clean = dealt(texts).select("path", F.regexp_replace("text", r"(?m)#.*$", " ").alias("text"))
     pin_of = r"(?m)^[ \t]*(?:component|module)[ \t]+([A-Za-z_]\w*)[ \t]*:([^\n]*(?:\n[ \t]+[^\n]*|\n[ \t]*(?=\n))*)"
     types = _matches(clean, pin_of, "typ", "body").select("path", "typ", F.explode(F.regexp_extract_all("body", F.lit(r"(?m)^[ \t]*pin[ \t]+[\"']?([^\s\"']+)"), F.lit(1))).alias("pin"))
     parts = _matches(clean, r"(?m)^[ \t]*([A-Za-z_]\w*)[ \t]*=[ \t]*new[ \t]+([A-Za-z_]\w*)", "ref", "typ")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from boundgraph.model import GraphError, from_rows
 from boundgraph.operators import changes, emit, merging, walks
@@ -135,3 +136,17 @@ def test_streams_as_batches(spark, tmp_path):
     out = live.activity(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/ev"), "1 hour", late="10 minutes").writeStream.format("memory").queryName("spans").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp2").start()
     out.awaitTermination(60)
     assert {(r["user_id"], r["n"]) for r in spark.table("spans").collect()} == {(1, 2), (2, 1)}
+
+
+def test_every_text_is_parsed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda t: (seen.add(1), t)[1], "string").asNondeterministic()
+    texts = spark.createDataFrame([(f"m{i}.py", f"class A:\n    def f(self):\n        return g()\n\n\ndef g():\n    return {i}\n") for i in range(6)], "path string, text string")
+    made = artefacts.code(texts.select("path", count("text").alias("text")))
+    assert made.edges.count() == 6 * 5
+    assert seen.value <= 6 * 3
+
+
+def test_files_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(artefacts, "FILES_A_TASK", 2)
+    assert artefacts.dealt(spark.createDataFrame([(f"c{i}", "") for i in range(9)], "path string, text string").coalesce(1)).rdd.getNumPartitions() == 5
