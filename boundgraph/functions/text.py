@@ -123,7 +123,7 @@ def phrase(text: Column, limit: int = 80) -> Column:
 def attributes(text: Column) -> Column:
     """A map from ``k=v;k2=v2``; what has no sign is left out, of equal keys the last counts."""
     parts = F.filter(F.split(text, ";"), lambda p: F.contains(p, F.lit("=")))
-    pair = lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.regexp_replace(p, r"^[^=]*=", "")).alias("value"))
-    pairs = F.transform(parts, pair)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    pair = lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.substr(p, F.locate("=", p) + 1)).alias("value"))
+    last = lambda pairs: F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    # The pairs are the one element of an array, so that they are made once and not for every pair that asks for those after it.
+    return F.map_from_entries(F.element_at(F.transform(F.array(F.transform(parts, pair)), last), 1))

@@ -100,3 +100,9 @@ def test_resolve(spark):
     asked = spark.createDataFrame([("h1",), ("a",), ("b",), ("zzz",), (None,)], "token string")
     found = {r["token"]: (r["hid"], r["hits"]) for r in seeds.resolve(g, asked).collect()}
     assert found == {"h1": ("h1", 1), "a": ("a", 1), "b": (None, 2), "zzz": (None, 0), None: (None, 0)}
+
+
+def test_pairs_in_one_text_are_split_once(spark):
+    rows = spark.createDataFrame([("note;part=0;k=x=;line=1;line= 9 ",), ("",)], "t string").select(T.attributes(F.col("t")).alias("a"))
+    assert [r["a"] for r in rows.collect()] == [{"part": "0", "k": "x=", "line": "9"}, {}]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
