@@ -16,7 +16,7 @@ from ..functions import props as P
 from ..model import LAW, RESERVED_TAGS, Graph, GraphError, nickname
 from ..storage import materialise
 from .census import referenced, tokens
-from .seeds import match_edges, match_nodes, resolve, the_one
+from .seeds import FEW_PREFIXES, match_edges, match_nodes, resolve, the_one
 
 EMPTY = "map<string,string>"
 
@@ -86,10 +86,6 @@ def minted_many(graph: Graph, rows: DataFrame, prefix: Column, key: str, bucket_
     return _handled(graph, rows, numbered)
 
 
-#: Prefixes that a scan of all names is narrowed to before their numbers are read.
-FEW_PREFIXES = 16
-
-
 def _handled(graph: Graph, rows: DataFrame, numbered: DataFrame) -> DataFrame:
     """Handles from ``prefix`` and ``n``, after the highest number of the prefix among nicknames and handles."""
     few = [r[0] for r in rows.select("prefix").distinct().limit(FEW_PREFIXES + 1).collect()]
@@ -135,7 +131,7 @@ def put(graph: Graph, rows: DataFrame, mode: str = "upsert") -> Graph:
 
 def delete_rows(graph: Graph, rows: DataFrame) -> Graph:
     """Remove nodes and edges by handle, ``rows(hid)``; edges of a removed node stay and dangle."""
-    gone = rows.select("hid").distinct()
+    gone = materialise(rows.select("hid").distinct(), "gone")
     return graph.after(nodes=graph.nodes.join(gone, "hid", "left_anti"), edges=graph.edges.join(gone, "hid", "left_anti"))
 
 
@@ -151,9 +147,11 @@ def create_edges(graph: Graph, rows: DataFrame) -> Graph:
     """Add ``rows(relation, src, dist, props)``; ends are handles, or nicknames of one node alone."""
     rows = _bounded(graph, rows.withColumn("relation", P.fold_relation(F.col("relation"))))
     check(graph, edges=rows)
+    rows = materialise(rows.select("relation", "src", "dist", "props"), "rows")
+    ends = materialise(resolve(graph, rows.select(F.explode(F.array("src", "dist")).alias("token")).distinct()), "ends")
     for end in ("src", "dist"):
-        rows = resolve(graph, rows, end)
-        bad = rows.where("hid is null").agg(F.min("hits").alias("least"), F.max("hits").alias("most")).first()
+        rows = rows.join(ends.withColumnRenamed("token", end), end, "left")
+        bad = rows.where("hid is null").agg(F.min(F.coalesce("hits", F.lit(0))).alias("least")).first()
         if bad["least"] is not None:
             raise GraphError("cue_conflict" if bad["least"] > 0 else "not_found", f"an end ({end}) names {bad['least']} rows")
         rows = rows.withColumn(end, F.col("hid")).drop("hid", "hits")
