@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import props as P
 from ..functions import text as T
 from ..model import EDGE_TAG, Graph, nickname
-from .seeds import endpoints, records
+from ..storage import materialise
+from .seeds import beginnings, begins, endpoints, records
 
 
 def node_lines(graph: Graph, with_nickname: bool = True) -> DataFrame:
@@ -96,8 +97,10 @@ def pack_lines(graph: Graph, pack: DataFrame) -> DataFrame:
     Edges show ports and what they carry only, between both ends with all their properties.
     """
     nodes = pack.where("part <> 'edge'").select("pack", "position", T.shaped_node(F.col("tag"), T.shown(with_nickname=False)).alias("line"))
-    edges = pack.where("part = 'edge'").select("pack", "position", "hid").join(graph.edges, "hid")
-    ends = graph.nodes.select(F.col("hid").alias("end"), T.shaped_node(F.col("tag"), T.shown(with_nickname=False)).alias("shaped"))
+    edges = pack.where("part = 'edge'").select("pack", "position", "hid")
+    edges = materialise(edges.join(graph.edges.where(begins(F.col("hid"), beginnings(edges.select("hid")))), "hid"), "lines")
+    named = edges.select(F.explode(F.array("src", "dist")).alias("hid")).distinct()
+    ends = graph.nodes.where(begins(F.col("hid"), beginnings(named))).join(named, "hid", "left_semi").select(F.col("hid").alias("end"), T.shaped_node(F.col("tag"), T.shown(with_nickname=False)).alias("shaped"))
     for side in ("src", "dist"):
         edges = edges.join(ends.withColumnsRenamed({"end": side, "shaped": f"{side}_line"}), side, "left").withColumn(f"{side}_line", F.coalesce(f"{side}_line", F.lit("(:NODE)")))
     pairs = F.filter(T.shown(with_nickname=False), lambda p: p["key"].isin("fromPort", "toPort", "carries"))

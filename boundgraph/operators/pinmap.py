@@ -11,16 +11,23 @@ from ..functions import props as P
 from ..functions import text as T
 from ..model import LAW, Graph
 from ..storage import materialise
-from .census import peaks
+from .census import best, peaks
 from .emit import pack_lines
 from .govern import touching
 from .walks import context_pack
 
 
+#: Keys that properties are narrowed to before they meet the cues.
+FEW_KEYS = 16
+
+
 def hits(graph: Graph, cues: DataFrame) -> DataFrame:
     """``(cue, hid, tag, props)``: the nodes that ``cues(cue, tag, key, value)`` name by kind and one property; rules are none."""
-    asked = cues.select("cue", F.upper("tag").alias("tag"), "key", "value")
+    asked = materialise(cues.select("cue", F.upper("tag").alias("tag"), "key", "value"), "asked")
     found = graph.nodes.where(F.col("tag") != LAW).select("hid", "tag", "props", F.explode("props").alias("key", "value"))
+    keys = [r[0] for r in asked.select("key").distinct().limit(FEW_KEYS + 1).collect()]
+    if len(keys) <= FEW_KEYS:
+        found = found.where(F.col("key").isin(*keys))
     return found.join(asked, ["tag", "key", "value"]).select("cue", "hid", "tag", "props")
 
 
@@ -49,12 +56,12 @@ def compose(graph: Graph, cues: DataFrame, depth: int = 2, max_rows: int | None
     parts.append(_listed(several, most).select("cue", F.lit(3).alias("section"), "k", "line"))
     missed = counted.where("n = 0")
     if not missed.isEmpty():
-        top = materialise(peaks(graph).orderBy(F.desc("rho"), "hid"), "peaks")
+        top = materialise(peaks(graph), "peaks")
         n = top.count()
         parts.append(mark(missed, 0, F.lit("## CueMiss MATCH_L=0")))
         parts.append(mark(missed, 1, F.lit(f"## Peak_L |Q|={n}")))
-        best = top.join(graph.nodes, "hid").orderBy(F.desc("rho"), "tag", P.payload(), "hid").limit(most)  # max_rows of them at most
-        each = missed.withColumn("one", F.lit(1)).join(F.broadcast(best.withColumn("one", F.lit(1))), "one")
+        first = best(graph, top, most)  # max_rows of them at most
+        each = missed.withColumn("one", F.lit(1)).join(F.broadcast(first.withColumn("one", F.lit(1))), "one")
         if n == 1:
             one = one.union(each.select("cue", "hid"))
         else:
