@@ -44,20 +44,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round re-hangs neighbours below the least node seen, so the number of rounds is
     logarithmic in practice and no task ever holds a whole component.  A small-star step comes
     first: where a node has many links, as one in many buckets has, their far ends hang below the
-    least of them from then on, and few links are left.  Self links and null ends are ignored;
+    least of them from then on, and few links are left.  Links are never broadcast: Parquet packs
+    them so well that their files say little about their size.  Self links and null ends are ignored;
     an empty table gives an empty table.
     """
 
     def hung(links: DataFrame) -> DataFrame:
         """Of links to smaller nodes, every node's own and its other ends' to the least of them."""
         least = links.groupBy("a").agg(F.min("b").alias("m"))
-        moved = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = links.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
     def contracted(links: DataFrame) -> DataFrame:
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return hung(both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        return hung(both.join(low.hint("merge"), "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
 
     def state(links: DataFrame) -> tuple:
         return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.hash("a", "b"))).first())

@@ -255,8 +255,9 @@ def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], words: int =
     typed = ", ".join(f"{n} long" for n in names)
     keyed = nodes.select("node", *names).mapInArrow(keys, f"t int, key long, node long, {typed}")
     sizes = keyed.groupBy("t", "key").count().where("count > 1")
+    # Spark sizes ``keyed`` like ``nodes``, of which it has a row for every table: without the hint it would be broadcast where nodes are small.
     blocks = (
-        keyed.join(sizes, ["t", "key"])
+        keyed.join(sizes.hint("merge"), ["t", "key"])
         .withColumn("parts", F.ceil(F.col("count") / block))
         .withColumn("part", F.pmod(F.xxhash64(*names, "node"), F.col("parts")))
         .groupBy("t", "key", "parts", "part")

@@ -77,6 +77,17 @@ def test_hot_bucket_is_split(spark):
     assert {i: found.get(i, i) for i in want} == want
 
 
+def test_rows_of_all_tables_are_never_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    schema = "node long, " + ", ".join(f"f{w} long" for w in range(4))
+    rows = [(i, *map(int, rng.integers(-(2**62), 2**62, 4))) for i in range(500)]
+    nodes = simhash.materialise(spark.createDataFrame(rows, schema), "nodes")  # small, and so its files say; 96 tables have 96 times the rows
+    kept, plans = simhash.materialise, []
+    monkeypatch.setattr(simhash, "materialise", lambda df, name="step": (plans.append((name, df._jdf.queryExecution().sparkPlan().toString())), kept(df, name))[1])
+    simhash.links(nodes, 64, simhash.drawn_tables(4, 96, 16, 0.15, 500), 4).collect()
+    assert [name for name, _ in plans] == ["blocks"] and "Broadcast" not in plans[0][1]
+
+
 def test_tables_get_wider_and_stay_exact():
     rng = random.Random(7)
     for n, parts in ((1000, 4), (2**24, 4), (2**30, 5), (2**36, 6), (2**45, 8)):
