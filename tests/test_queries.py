@@ -40,3 +40,15 @@ def test_shell_keeps_few(spark):
         own = [r for r in found if r["pack"] == pack]
         assert sum(r["part"] != "edge" for r in own) == 8 and sum(r["part"] == "edge" for r in own) <= 12
         assert [r["hid"] for r in own if r["part"] == "seed"] == [pack]
+
+
+def test_hop_list_of_a_customer_with_very_many_orders(spark, tmp_path):
+    con = duckdb.connect()
+    for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        one = "REPLACE (1 AS o_custkey)" if table == "orders" else ""
+        con.execute(f"COPY (SELECT * {one} FROM '{FOLDER}/{table}.parquet') TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    df = QUERIES["hop_list"](spark, str(tmp_path))
+    wanted = con.execute(ORACLE_SQL["hop_list"])
+    assert df.where("seed = 'CUS_1'").count() > 1000
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in wanted.description], wanted.fetchall())
